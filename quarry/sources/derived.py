@@ -127,10 +127,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The ``n`` most frequent lower-cased words of documents (ties by word); polarity +1
-    for odd rank, -1 for even rank."""
+    """The ``n`` most frequent terms (lower-cased letter/digit runs) of documents, ties by
+    word; polarity +1 for odd rank, -1 for even rank."""
+    from quarry.operators.analyses import terms
     docs = table(spark, sf_dir, "documents")
-    toks = docs.select(F.explode(words(F.lower("text"))).alias("word"))
+    toks = docs.select(F.explode(terms("text")).alias("word"))
     freq = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = freq.orderBy(F.desc("n"), "word").limit(n)  # a top-n report: the limit is the feature
     from pyspark.sql import Window
