@@ -105,8 +105,7 @@ def _native_resolve(base: Column, href: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
-def _py_urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
+def _urljoin_batch(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 
     out = []
@@ -125,5 +124,5 @@ def resolve_urls(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     nat = df.withColumn(out, _native_resolve(F.col(base), F.col(href)))
     simple = nat.filter(F.col(out).isNotNull() | F.col(href).isNull() | F.col(base).isNull())
     hard = nat.filter(F.col(out).isNull() & F.col(href).isNotNull() & F.col(base).isNotNull())
-    hard = hard.withColumn(out, _py_urljoin(F.col(base), F.col(href)))
+    hard = hard.withColumn(out, F.pandas_udf(_urljoin_batch, "string")(F.col(base), F.col(href)))
     return simple.unionByName(hard)
