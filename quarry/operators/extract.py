@@ -20,6 +20,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.html import html_text
 from quarry.functions.text import col_, decode_entities, py_strip
@@ -240,7 +241,9 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
     native = files.filter(t.isin(*NATIVE_TYPES)).select(
         *keep, F.when(native_error.isNull(), native_text).alias("text"),
         native_error.alias("error"))
-    schema = files.drop(content).schema.add("text", "string").add("error", "string")
+    schema = T.StructType(list(files.drop(content).schema.fields)
+                          + [T.StructField("text", T.StringType()),
+                             T.StructField("error", T.StringType())])
     python = files.filter(t.isin(*py_types)).mapInPandas(
         _python_extract(parsers, type_col, content), schema)
     other = files.filter(~t.isin(*NATIVE_TYPES, *py_types) | t.isNull()).select(
