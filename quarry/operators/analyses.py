@@ -124,8 +124,9 @@ def technical_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sents = docs.select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
     if term:
         sents = sents.filter(F.array_contains(terms("sentence"), term.lower()))
-    toks = F.transform(words("sentence"), lambda w: F.regexp_replace(
-        w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+\z", ""))
+    sents = sents.select(key, "pos", F.transform(words("sentence"), lambda w: F.regexp_replace(
+        w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+\z", "")).alias("_toks"))
+    toks = F.col("_toks")  # materialised: the lambdas below index into it
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def kind(t, i):

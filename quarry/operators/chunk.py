@@ -29,22 +29,28 @@ def window_count(n_words: Column, size: int = 300, overlap: int = 50) -> Column:
             .cast("bigint"))
 
 
-def word_windows(text, size: int = 300, overlap: int = 50) -> Column:
-    """array<string>: windows of ``size`` words, consecutive windows sharing ``overlap``."""
+def word_windows(w: Column, size: int = 300, overlap: int = 50) -> Column:
+    """array<string>: windows of ``size`` words over the word array ``w`` (a column that
+    is already materialised: it is referenced inside the lambda), consecutive windows
+    sharing ``overlap`` words."""
     stride = size - overlap
-    w = words(col_(text))
-    last = (window_count(F.size(w), size, overlap) - 1) * stride
-    starts = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
+    n = F.size(w)
+    last = (window_count(n, size, overlap) - 1) * stride
+    starts = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
         F.sequence(F.lit(0).cast("bigint"), last, F.lit(stride).cast("bigint")))
     return F.transform(starts, lambda s: F.array_join(F.slice(w, (s + 1).cast("int"), size), " "))
 
 
 def chunk_words(docs: DataFrame, text: str = "text", size: int = 300, overlap: int = 50,
                 out: str = "page_content") -> DataFrame:
-    """One row per window with ``pos``; the other columns are copied to every chunk."""
+    """One row per window with ``pos``; the other columns are copied to every chunk.
+    The word array is computed in its own projection: referenced from the window lambda it
+    would otherwise be re-split once per window."""
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(word_windows(text, size, overlap)).alias("pos", out)
-                       ).withColumn("pos", F.col("pos").cast("bigint"))
+    with_words = docs.select(*keep, words(text).alias("_w"))
+    return with_words.select(
+        *keep, F.posexplode(word_windows(F.col("_w"), size, overlap)).alias("pos", out)
+    ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def chunk_counts(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -38,8 +38,12 @@ def scrape(pages: DataFrame, urls: DataFrame | None = None, now=None, min_words:
         H.kept_blocks(region["html"], min_words).alias("_blocks"),
         H.title("_doc").alias("title"), H.description("_doc").alias("description"),
         _now(now).alias("scraped_at"))
-    return (out.filter(F.size("_blocks") > 0)
-            .withColumn("text", F.array_join("_blocks", "\n\n")).drop("_blocks"))
+    # A page without a kept block yields no row. Written as a 0/1-element explode rather than
+    # a filter: Catalyst would push a filter on ``_blocks`` below the projection and evaluate
+    # the whole block pipeline twice.
+    text = F.explode(F.when(F.size("_blocks") > 0, F.array(F.array_join("_blocks", "\n\n")))
+                     .otherwise(F.array().cast("array<string>")))
+    return out.select(*[c for c in out.columns if c != "_blocks"], text.alias("text"))
 
 
 def raw_links(pages: DataFrame, follow_nav: bool = False, html: str = "html") -> DataFrame:

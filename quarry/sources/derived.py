@@ -27,9 +27,10 @@ def _ext_by_mod(idcol, exts):
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows from documents: id, filename doc_<id>.<ext>, created_at = epoch + id hours,
     total_chunks = C3 count; status from the insert rule (S8)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.size(words("text")).alias("_n"))
     ext = _ext_by_mod(F.col("doc_id"), CATALOG_EXTS)
-    total = window_count(F.size(words("text")))
+    total = window_count(F.col("_n"))
     created = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.col("doc_id").cast("int"))
     return docs.select(
