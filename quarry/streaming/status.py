@@ -30,8 +30,10 @@ def stream_status(events: DataFrame, sink: str, checkpoint: str,
                   watermark: str | None = None, available_now: bool = True):
     """Run the status stream into ``sink`` (Parquet, one part per micro-batch)."""
     if watermark:
-        events = events.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(
-            ["event_id"])
+        # Watermarks need TIMESTAMP (event_ts is TIMESTAMP_NTZ): watermark a cast copy.
+        events = (events.withColumn("_wm_ts", F.col("event_ts").cast("timestamp"))
+                  .withWatermark("_wm_ts", watermark)
+                  .dropDuplicatesWithinWatermark(["event_id"]).drop("_wm_ts"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
