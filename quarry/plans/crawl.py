@@ -1,18 +1,27 @@
 """Bounded breadth-first crawl inside one host, for many start URLs at once.
 
-Level-synchronous BFS over a links table: frontier ⋈ links → next frontier, anti-joined with
-the visited set. All state stays in Spark; the driver only asks whether the next frontier is
-empty. Each level is cut from its lineage with a reliable checkpoint in the session's shared
-checkpoint folder, so a lost executor recomputes one level, not the whole crawl.
+Level-synchronous BFS. Before the loop, pages and links are folded into one node table
+``(url, ok, out_links)`` - ``ok`` marks pages that yield text, ``out_links`` the filtered links
+of ok pages only (the links of failed pages are never followed) - hash-partitioned by url and
+checkpointed, so each level shuffles only the frontier. A level is one Spark job:
 
-Semantics (per start): pages that are not in ``pages`` or yield no text are visited but not
-counted and their links are not followed; the crawl stops once ``max_pages`` successful pages
-are found. Within a level the reference's order comes from a set; here the kept pages are the
-first ``max_pages`` by (depth, url), which is deterministic.
+    frontier ⋈ nodes → (start, url, depth, ok)            visited this level
+    ok rows of unfinished crawls → explode(out_links) → distinct → anti-join visited
+
+The driver only reads whether the next frontier is empty. The frontier is cut from its lineage
+with a reliable checkpoint (in the session's shared checkpoint folder) every level, the
+visited set and the per-start counts every ``checkpoint_every`` levels, so a lost executor
+recomputes at most that many levels and plans stay small.
+
+Semantics per start: pages missing from ``pages`` or without text are visited but not counted;
+the crawl of a start stops once ``max_pages`` successful pages are found. Within a level the
+reference's order comes from a set; here the kept pages are the first ``max_pages`` by (depth,
+url), which is deterministic. A crawl needs at most ``max_pages`` + 1 levels.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +32,20 @@ from quarry.session import checkpoint_dir
 MAX_PAGES = 100
 
 
+def crawl_nodes(ok_pages: DataFrame, links: DataFrame, num_partitions: int) -> DataFrame:
+    """(url, ok, out_links) for every ok page, partitioned by url."""
+    ok = ok_pages.select("url").distinct()
+    out = crawlable_links(links).groupBy(F.col("src").alias("url")).agg(
+        F.collect_set("dst").alias("out_links"))
+    return (ok.join(out, "url", "left")
+            .select("url", F.lit(True).alias("ok"),
+                    F.coalesce("out_links", F.array().cast("array<string>")).alias("out_links"))
+            .repartition(num_partitions, "url"))
+
+
 def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
           max_pages: int = MAX_PAGES, max_levels: int | None = None,
-          ok_pages: DataFrame | None = None) -> DataFrame:
+          ok_pages: DataFrame | None = None, checkpoint_every: int = 8) -> DataFrame:
     """Return (start, url, depth, rank) for the successful pages of each crawl.
 
     ``pages``: (url, html); ``links``: (src, dst); ``starts``: start URLs (DataFrame with a
@@ -37,39 +57,55 @@ def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
     if isinstance(starts, list):
         starts = spark.createDataFrame([(s,) for s in starts], "start string")
     starts = starts.select("start").distinct()
-    if not starts.filter(~url_ok("start")).isEmpty():
-        bad = starts.filter(~url_ok("start")).first()[0]
-        raise ValueError(f"Invalid start URL: {bad}")
+    bad = starts.filter(~url_ok("start")).limit(1).collect()
+    if bad:
+        raise ValueError(f"Invalid start URL: {bad[0][0]}")
 
     if ok_pages is None:
         ok_pages = scrape(pages).select("url")
-    ok = ok_pages.select("url").distinct().withColumn("ok", F.lit(True)).checkpoint()
-    edges = crawlable_links(links).checkpoint()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = crawl_nodes(ok_pages, links, parts).checkpoint()
 
     frontier = starts.select("start", F.col("start").alias("url"),
                              F.lit(0).cast("int").alias("depth"))
     visited = None
+    done = spark.createDataFrame([], "start string")
+    held: list[DataFrame] = []
     level = 0
     while True:
-        cur = (frontier.join(ok, "url", "left")
-               .select("start", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"))
-               .checkpoint())
-        visited = cur if visited is None else visited.unionByName(cur)
-        if level % 8 == 7:
-            visited = visited.checkpoint()
-        counts = visited.filter("ok").groupBy("start").agg(F.count(F.lit(1)).alias("n"))
-        done = counts.filter(F.col("n") >= max_pages).select("start")
-        expand = cur.filter("ok").join(done, "start", "left_anti")
-        nxt = (expand.join(edges, expand["url"] == edges["src"])
-               .select("start", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"))
+        cur = (frontier.join(nodes, "url", "left")
+               .select("start", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"),
+                       "out_links")
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        seen = cur.select("start", "url", "depth", "ok")
+        visited = seen if visited is None else visited.unionByName(seen)
+        nxt = (cur.filter("ok").join(done, "start", "left_anti")
+               .select("start", F.explode("out_links").alias("url"),
+                       (F.col("depth") + 1).alias("depth"))
                .distinct()
-               .join(visited.select("start", "url"), ["start", "url"], "left_anti")
-               .checkpoint())
+               .join(visited.select("start", "url"), ["start", "url"], "left_anti"))
         level += 1
+        # The frontier is checkpointed every level (persisted first so it is computed once):
+        # it is small, and without the cut each level's plan would embed all earlier ones.
+        nxt_cached = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        nxt = nxt_cached.checkpoint()
+        nxt_cached.unpersist()
+        held.append(cur)
+        if level % checkpoint_every == 0:
+            visited = visited.checkpoint()
+            # Crawls that reached max_pages stop expanding. Checked at checkpoints only: the
+            # few extra levels a finished crawl may run add deeper pages, which rank after
+            # the first max_pages anyway, so the result is the same.
+            done = (visited.filter("ok").groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+                    .filter(F.col("n") >= max_pages).select("start").checkpoint())
+            for df in held:
+                df.unpersist()
+            held = []
         if nxt.isEmpty() or (max_levels is not None and level >= max_levels):
             break
         frontier = nxt
     w = Window.partitionBy("start").orderBy("depth", "url")
-    return (visited.filter("ok").withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .filter(F.col("rank") <= max_pages)
-            .select("start", "url", F.col("depth").cast("bigint").alias("depth"), "rank"))
+    result = (visited.filter("ok").withColumn("rank", F.row_number().over(w).cast("bigint"))
+              .filter(F.col("rank") <= max_pages)
+              .select("start", "url", F.col("depth").cast("bigint").alias("depth"), "rank"))
+    return result.checkpoint()
