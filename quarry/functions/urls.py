@@ -96,7 +96,8 @@ def _native_resolve(base: Column, href: Column) -> Column:
         .when((hscheme != "") & (hscheme != bscheme), href)
         .when(hscheme != "", F.lit(None))  # same scheme: urlunparse re-serialises, use stdlib
         .when(href.rlike(_COMPLEX_HREF), F.lit(None))
-        .when(href.startswith("//"), F.concat(bscheme, F.lit(":"), href))
+        .when(href.rlike(r"^//[^/?#]"), F.concat(bscheme, F.lit(":"), href))
+        .when(href.startswith("//"), F.lit(None))  # empty netloc: stdlib
         .when(href.startswith("/"), F.concat(origin, href))
         .when(~base_simple, F.lit(None))
         .when(href.startswith("?"), F.concat(origin, bpath, href))

@@ -104,7 +104,8 @@ def resolve_sql(base: str, href: str) -> str:
             f"WHEN {hscheme} <> '' AND {hscheme} <> {bscheme} THEN {href} "
             f"WHEN {hscheme} <> '' THEN NULL "
             f"WHEN {D.rm(href, _COMPLEX_HREF)} THEN NULL "
-            f"WHEN starts_with({href}, '//') THEN {bscheme} || ':' || {href} "
+            f"WHEN {D.rm(href, '^//[^/?#]')} THEN {bscheme} || ':' || {href} "
+            f"WHEN starts_with({href}, '//') THEN NULL "
             f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
             f"WHEN {D.rm(bpath, r'//|(^|/)\.\.?(/|$)')} THEN NULL "
             f"WHEN starts_with({href}, '?') THEN {origin} || {bpath} || {href} "
