@@ -26,9 +26,11 @@ from quarry.operators.search import _round6
 def build_ivf(chunks: DataFrame, vec: str = "embedding", n_cells: int | None = None,
               seed: int = 7, max_iter: int = 20):
     """Fit cells; returns (centroids as numpy array, chunks with a ``cell`` column)."""
-    n = chunks.count()
+    # k-means reads its input once per iteration: materialise it (checkpoint in the shared
+    # folder, so a lost executor does not re-derive the chunks), then fit and assign.
+    data = chunks.withColumn("_v", array_to_vector(vec)).checkpoint()
+    n = data.count()
     k = n_cells or max(1, int(math.sqrt(n)))
-    data = chunks.withColumn("_v", array_to_vector(vec))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v",
                    predictionCol="cell").fit(data)
     cents = np.array([c for c in model.clusterCenters()], dtype=np.float64)

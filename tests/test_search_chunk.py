@@ -75,3 +75,22 @@ def test_sequence_lag_and_lead(spark):
     assert nb[("hot", 0, 1)] == 1 and nb[("hot", 38, 1)] == 39 and ("a", 4, 1) not in nb
     lag = {(r.k, r.i): r.p for r in lag_column(seq, "i", "p", same=["k"]).collect()}
     assert lag[("hot", 10)] == 9 and lag[("b", 0)] is None
+
+
+def test_r9_recall_against_exact(spark):
+    from quarry.operators.approx import approx_search, build_ivf, recall_at_k
+    rnd = random.Random(11)
+    centers = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    pts = [(i, 0, [c + rnd.gauss(0, 0.05) for c in centers[i % 6]]) for i in range(600)]
+    cdf = spark.createDataFrame(pts, "doc_id long, pos long, embedding array<double>")
+    qdf = spark.createDataFrame([(q, pts[q * 7][2]) for q in range(30)],
+                                "qid long, embedding array<double>")
+    cents, indexed = build_ivf(cdf, n_cells=12)
+    approx = approx_search(qdf, indexed, cents, k=5, n_probe=3)
+    exact = search(qdf, cdf, k=5, payload=[])
+    rec = [r.recall for r in recall_at_k(approx, exact).collect()]
+    assert len(rec) == 30 and sum(rec) / len(rec) >= 0.9
+    # every approximate hit carries its true distance
+    got = {(r.qid, r.doc_id): r.distance for r in approx.collect()}
+    ex = {(r.qid, r.doc_id): r.distance for r in exact.collect()}
+    assert all(abs(got[k] - ex[k]) < 1e-6 for k in got.keys() & ex.keys())
