@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_BROADCAST_WINNERS = 2_000_000
 _PAIR_BUDGET = 4_000_000  # query × chunk distances held at once by one kernel call
 
 
@@ -68,14 +69,14 @@ def _topk_kernel(bc, qkeys: list[str], ids: list[str], vec: str, k: int):
 
 
 def _query_blocks(queries: DataFrame, qkeys: list[str], vec: str, max_bytes: int
-                  ) -> list[DataFrame]:
+                  ) -> tuple[list[DataFrame], int]:
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dims")).first()
     n, dims = stats["n"], stats["dims"] or 0
     nblocks = max(1, math.ceil(n * max(dims, 1) * 8 / max_bytes))
     if nblocks == 1:
-        return [queries]
+        return [queries], n
     b = F.pmod(F.xxhash64(*qkeys), F.lit(nblocks))
-    return [queries.filter(b == i) for i in range(nblocks)]
+    return [queries.filter(b == i) for i in range(nblocks)], n
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, qkeys: list[str] | str = "qid",
@@ -97,7 +98,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, qkeys: list[str] |
                               + [T.StructField(c, ctypes[c]) for c in ids]
                               + [T.StructField("distance", T.DoubleType())])
     partials = []
-    for block in _query_blocks(qsel, qkeys, vec, max_broadcast_bytes):
+    blocks, n_queries = _query_blocks(qsel, qkeys, vec, max_broadcast_bytes)
+    for block in blocks:
         pdf = block.toPandas()  # bounded by the size check above
         mat = (np.stack(pdf[vec].to_numpy()).astype(np.float64) if len(pdf)
                else np.zeros((0, 1)))
@@ -111,8 +113,10 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, qkeys: list[str] |
     top = (part.withColumn("rank", F.row_number().over(w).cast("bigint"))
            .filter(F.col("rank") <= k).withColumn("_raw", F.col("distance"))
            .withColumn("distance", d6))
-    # ≤ queries × k rows (queries were size-checked): a bounded broadcast.
-    out = chunks.select(*ids, *payload).join(F.broadcast(top), ids)
+    # The winners are at most queries × k rows (counted above): broadcast them when that is
+    # within the bound, otherwise join by shuffling.
+    winners = F.broadcast(top) if n_queries * k <= MAX_BROADCAST_WINNERS else top
+    out = chunks.select(*ids, *payload).join(winners, ids)
     cols = [*qkeys, "rank", *ids, *payload, "distance"]
     if with_score:
         out = out.withColumn("score", F.round(1 - F.col("_raw") / 2, 6))
