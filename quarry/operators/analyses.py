@@ -4,8 +4,10 @@ Shared building blocks:
 * ``terms``: lower-cased letter/digit runs of a text;
 * ``sentences``: a text cut after ., ! or ? followed by whitespace;
 * ``tfidf``: (doc, term, tf, df, tfidf) with idf = ln(N / df). The per-term document
-  frequency is a partial aggregate; joining it back goes through a size-checked broadcast,
-  and beyond that bound through a shuffle join whose hot terms AQE splits (skew join).
+  frequency is a partial aggregate. Joining it back is left to adaptive execution: the
+  vocabulary's shuffle is materialised first and AQE broadcasts it only when its measured
+  size is under the broadcast threshold (a runtime size check that costs no extra pass);
+  otherwise the join shuffles and AQE's skew join splits hot terms.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import PY_WS, col_, py_strip, words
 from quarry.plans.ordered import lag_column, with_sequence
-from quarry.plans.sizing import checked_broadcast
 
 TERM_SPLIT = r"[^\p{L}\p{N}]+"
 SENTENCE_END = rf"([.!?]){PY_WS}+"
@@ -50,7 +51,7 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     n_docs = docs.count()
     tf = doc_terms(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(checked_broadcast(df), "term")
+    joined = tf.join(df, "term")  # AQE: broadcast only if the measured vocabulary is small
     return joined.withColumn("tfidf", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
 
 
@@ -155,7 +156,7 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, by: str, key: str = "doc_id",
     """Document score = sum of lexicon polarities of its terms / number of terms;
     per group: documents, mean, min and max score."""
     t = docs.select(key, by, F.posexplode(terms(text)).alias("i", "term"))
-    lex = checked_broadcast(lexicon.select(F.col("word").alias("term"), "polarity"))
+    lex = lexicon.select(F.col("word").alias("term"), "polarity")  # AQE sizes the join
     scored = t.join(lex, "term", "left")
     per_doc = scored.groupBy(key, by).agg(
         (F.sum(F.coalesce("polarity", F.lit(0))) / F.count(F.lit(1))).alias("score"))
