@@ -14,7 +14,7 @@ import io
 import json
 import struct
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -198,58 +198,63 @@ PY_PARSERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def _python_extract(parsers: dict[str, Callable], type_col: str, content: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, errors = [], []
-            for t, data in zip(pdf[type_col], pdf[content]):
-                try:
-                    texts.append(parsers[t](bytes(data)))
-                    errors.append(None)
-                except Exception as e:  # the row fails, not the job
-                    texts.append(None)
-                    errors.append(f"Error processing {t}: {type(e).__name__}: {e}"[:1000])
-            out = pdf.drop(columns=[content])
-            out["text"] = texts
-            out["error"] = errors
-            yield out
+def _python_parse(parsers: dict[str, Callable]):
+    """Arrow batch → struct(text, error). Rows without content (native or unsupported
+    types, which the caller nulls out) cost only a NULL in the batch."""
+    def run(types: pd.Series, data: pd.Series) -> pd.DataFrame:
+        texts, errors = [], []
+        for t, d in zip(types, data):
+            if d is None:
+                texts.append(None)
+                errors.append(None)
+                continue
+            try:
+                texts.append(parsers[t](bytes(d)))
+                errors.append(None)
+            except Exception as e:  # the row fails, not the job
+                texts.append(None)
+                errors.append(f"Error processing {t}: {type(e).__name__}: {e}"[:1000])
+        return pd.DataFrame({"text": texts, "error": errors})
     return run
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None,
                  type_col: str = "file_type", content: str = "content") -> DataFrame:
-    """(…, text, error) for every file. ``extractors`` maps further types (e.g. "pdf")
-    to a ``bytes → text`` function run in Arrow batches (see ``pages_decoder`` for PDF-like
-    formats)."""
+    """(…, text, error) for every file, in one pass over the input. ``extractors`` maps
+    further types (e.g. "pdf", or a native type to override) to a ``bytes → text`` function.
+
+    The Arrow-batched parser receives the content only of rows whose type needs Python
+    (NULL otherwise), so native rows never cross to the Python worker with their bytes and
+    the file contents are read once."""
     extractors = dict(extractors or {})
     t = F.lower(F.col(type_col))
-    files = files.withColumn(type_col, t)
-    keep = [c for c in files.columns if c != content]
-    strict = decode_strict(content)
-    png = png_dimensions(content)
+    native_types = [x for x in NATIVE_TYPES if x not in extractors]
+    py_types = [x for x in PYTHON_TYPES if x not in extractors] + list(extractors)
+    parsers = {**PY_PARSERS, **extractors}
+    keep = [c for c in files.columns if c not in (content, type_col)]
+    is_text = t.isin(*[x for x in ("txt", "md", "html", "htm") if x in native_types])
+    py = F.pandas_udf(_python_parse(parsers), "text string, error string")(
+        t, F.when(t.isin(*py_types), F.col(content)))
+    stage = files.select(
+        *keep, t.alias(type_col), F.col(content),
+        F.when(is_text, decode_strict(content)).alias("_s"), py.alias("_py"))
+    s_, c_ = F.col("_s"), F.col(content)
+    png = png_dimensions(c_)
     native_text = (
-        F.when(t == "txt", strict)
-        .when(t == "md", markdown_text(strict))
-        .when(t.isin("html", "htm"), html_text(strict))
-        .when(t == "rtf", rtf_text(decode_lenient(content)))
+        F.when(t == "txt", s_)
+        .when(t == "md", markdown_text(s_))
+        .when(t.isin("html", "htm"), html_text(s_))
+        .when(t == "rtf", rtf_text(decode_lenient(c_)))
         .when(t == "png", image_text(png["width"], png["height"], "PNG")))
     native_error = (
-        F.when(t.isin("txt", "md", "html", "htm") & strict.isNull(), F.lit(UTF8_ERROR))
+        F.when(is_text & s_.isNull(), F.lit(UTF8_ERROR))
         .when((t == "png") & png.isNull(), F.lit("Error processing png: not a PNG file")))
-    py_types = [x for x in PYTHON_TYPES if x not in extractors] + list(extractors)
-    parsers = {**PY_PARSERS, **extractors}
-    native = files.filter(t.isin(*NATIVE_TYPES)).select(
-        *keep, F.when(native_error.isNull(), native_text).alias("text"),
-        native_error.alias("error"))
-    schema = T.StructType(list(files.drop(content).schema.fields)
-                          + [T.StructField("text", T.StringType()),
-                             T.StructField("error", T.StringType())])
-    python = files.filter(t.isin(*py_types)).mapInPandas(
-        _python_extract(parsers, type_col, content), schema)
-    other = files.filter(~t.isin(*NATIVE_TYPES, *py_types) | t.isNull()).select(
-        *keep, F.lit(None).cast("string").alias("text"),
-        F.coalesce(unsupported(F.col(type_col)), F.lit("Unsupported file type: ")).alias("error"))
-    return native.unionByName(python).unionByName(other)
+    is_native, is_py = t.isin(*native_types), t.isin(*py_types)
+    text = (F.when(is_native & native_error.isNull(), native_text)
+            .when(is_py, F.col("_py.text")))
+    error = (F.when(is_native, native_error).when(is_py, F.col("_py.error"))
+             .otherwise(F.coalesce(unsupported(t), F.lit("Unsupported file type: "))))
+    return stage.select(*keep, F.col(type_col), text.alias("text"), error.alias("error"))
 
 
 # --- E11 / E12: page-structured formats ---------------------------------------------------
