@@ -79,10 +79,12 @@ def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
                .persist(StorageLevel.MEMORY_AND_DISK))
         seen = cur.select("start", "url", "depth", "ok")
         visited = seen if visited is None else visited.unionByName(seen)
+        # groupBy on (start, url) rather than distinct on all columns: its output is already
+        # partitioned for the anti-join with visited, which saves a shuffle per level.
         nxt = (cur.filter("ok").join(done, "start", "left_anti")
                .select("start", F.explode("out_links").alias("url"),
                        (F.col("depth") + 1).alias("depth"))
-               .distinct()
+               .groupBy("start", "url").agg(F.min("depth").alias("depth"))
                .join(visited.select("start", "url"), ["start", "url"], "left_anti"))
         level += 1
         # The frontier is checkpointed every level (persisted first so it is computed once):
