@@ -58,11 +58,40 @@ def clean_text(c) -> Column:
     return F.trim(F.regexp_replace(collapse_ws(c), CLEAN_DROP, ""))
 
 
+# Numeric character references (decimal or hex, with the semicolon).
+NUM_REF = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _num_ref_char(r: Column) -> Column:
+    """'&#233;' / '&#xE9;' → 'é'; a reference to an invalid or control code point is kept
+    as written."""
+    digits = F.regexp_extract(r, r"^&#[xX]?([0-9a-fA-F]+);", 1)
+    n = F.when(r.rlike(r"^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    valid = ((n >= 32) & (n != 127) & ~n.between(0x80, 0x9F) & ~n.between(0xD800, 0xDFFF)
+             & (n <= 0x10FFFF))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "utf-32")).otherwise(r)
+
+
+def decode_numeric_refs(c) -> Column:
+    """Numeric references decoded natively: the text is split at the references and the
+    pieces are zipped with the decoded references (no per-element re-evaluation)."""
+    x = col_(c)
+    pieces = F.split(x, NUM_REF)
+    refs = F.regexp_extract_all(x, F.lit(NUM_REF), 0)
+    joined = F.array_join(F.zip_with(pieces, refs, lambda p, r: F.concat(
+        F.coalesce(p, F.lit("")), F.coalesce(_num_ref_char(r), F.lit("")))), "")
+    return F.when(F.contains(x, F.lit("&#")), joined).otherwise(x)
+
+
 def decode_entities(c) -> Column:
+    """Named references from the fixed list, then numeric references, then &amp; (so an
+    escaped ampersand is never decoded twice)."""
     out = col_(c)
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in HTML_ENTITIES[:-1]:
         out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    out = decode_numeric_refs(out)
+    ent, ch = HTML_ENTITIES[-1]
+    return F.replace(out, F.lit(ent), F.lit(ch))
 
 
 def strip_tags(c) -> Column:

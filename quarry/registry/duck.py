@@ -56,10 +56,30 @@ def clean_text(x: str) -> str:
     return f"trim({rr(rr(x, PY_WS + '+', ' '), CLEAN_DROP)})"
 
 
+def _num_ref_char(r: str) -> str:
+    digits = rx(r, r"^&#[xX]?([0-9a-fA-F]+);")
+    n = (f"(CASE WHEN {rm(r, '^&#[xX]')} THEN CAST(('0x' || {digits}) AS BIGINT) "
+         f"ELSE CAST({digits} AS BIGINT) END)")
+    valid = (f"({n} >= 32 AND {n} <> 127 AND NOT ({n} BETWEEN 128 AND 159) "
+             f"AND NOT ({n} BETWEEN 55296 AND 57343) AND {n} <= 1114111)")
+    return f"CASE WHEN {valid} THEN chr(CAST({n} AS INTEGER)) ELSE {r} END"
+
+
+def decode_numeric_refs(x: str) -> str:
+    from quarry.functions.text import NUM_REF
+    pieces = f"string_split_regex({x}, {q(NUM_REF)})"
+    refs = f"regexp_extract_all({x}, {q(NUM_REF)}, 0)"
+    joined = (f"array_to_string(list_transform(list_zip({pieces}, {refs}), lambda z_: "
+              f"coalesce(z_[1], '') || coalesce({_num_ref_char('z_[2]')}, '')), '')")
+    return f"CASE WHEN contains({x}, '&#') THEN {joined} ELSE {x} END"
+
+
 def decode_entities(x: str) -> str:
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in HTML_ENTITIES[:-1]:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    x = decode_numeric_refs(x)
+    ent, ch = HTML_ENTITIES[-1]
+    return f"replace({x}, {q(ent)}, {q(ch)})"
 
 
 def strip_tags(x: str) -> str:

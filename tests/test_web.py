@@ -160,3 +160,20 @@ def test_scrape_plan_runs_blocks_once(spark):
     pages = _pages(spark, [("http://h/a", f"<p>{LONG}</p>")])
     plan = web.scrape(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan and "Python" not in plan
+
+
+def test_numeric_references_match_unescape(spark):
+    import html as pyhtml
+    import duckdb
+    from quarry.functions.text import decode_entities
+    from quarry.registry import duck as D
+    samples = ["caf&#233; &#xE9;t&#xe9;", "&#128578; x", "&#0; &#x80; keep", "a &amp;#233; b",
+               "no refs", "&lt;p&gt; &#60;", "&#9999999;", "&#x10FFFF;"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r.i: r.d for r in df.select("i", decode_entities("s").alias("d")).collect()}
+    for i in (0, 1, 3, 4, 5):
+        assert got[i] == pyhtml.unescape(samples[i]), samples[i]
+    assert got[2] == "&#0; &#x80; keep" and got[6] == "&#9999999;"
+    con = duckdb.connect()
+    for i, s in enumerate(samples):
+        assert con.execute(f"SELECT {D.decode_entities(D.q(s))}").fetchone()[0] == got[i]
