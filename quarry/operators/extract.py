@@ -187,6 +187,58 @@ def _docx_text(data: bytes) -> str:
     return "\n".join(docx_paragraphs(data))
 
 
+def docx_images(data: bytes) -> list[bytes]:
+    """Bytes of the images a .docx references (relationship targets under word/media)."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        try:
+            rels = ET.fromstring(z.read("word/_rels/document.xml.rels"))
+        except KeyError:
+            return out
+        for rel in rels:
+            target = rel.get("Target", "")
+            if "image" in target:
+                path = target if target.startswith("word/") else "word/" + target.lstrip("/")
+                if path in names:
+                    out.append(z.read(path))
+    return out
+
+
+def docx_extractor(describe: Callable[[bytes], str] | None = None) -> Callable[[bytes], str]:
+    """E9 with image descriptions: paragraphs joined by newlines, then (when ``describe``
+    yields any) the descriptions under the Image Descriptions header. A description that
+    fails is skipped, as in the reference."""
+    def run(data: bytes) -> str:
+        text = "\n".join(docx_paragraphs(data))
+        if describe is None:
+            return text
+        found = []
+        for img in docx_images(data):
+            try:
+                found.append(describe(img))
+            except Exception:
+                continue
+        return text + IMAGE_DESCRIPTIONS_HEADER + "\n".join(found) if found else text
+    return run
+
+
+def image_describer(client: Callable[[str], str]) -> Callable[[bytes], str]:
+    """E10 with a model: sends the image request (L9's JSON message) to ``client``."""
+    import base64
+
+    from quarry.operators.prompts import IMAGE_PROMPT, IMAGE_URL_PREFIX
+
+    def run(data: bytes) -> str:
+        msg = [{"type": "text", "text": IMAGE_PROMPT},
+               {"type": "image_url", "image_url": {
+                   "url": IMAGE_URL_PREFIX + base64.b64encode(data).decode("ascii"),
+                   "detail": "high"}}]
+        out = client(json.dumps(msg, separators=(",", ":")))
+        return out if out else "No description available"
+    return run
+
+
 def _jpeg_text(data: bytes) -> str:
     w, h = _jpeg_size(data)
     return f"Image dimensions: ({w}, {h}), format: JPEG"

@@ -118,3 +118,33 @@ def test_e11_hook_and_e12_assembly(spark):
 
 def test_e0_unsupported(spark):
     assert _one(spark, "exe", b"x") == (None, "Unsupported file type: exe")
+
+
+def test_e9_e10_with_describer(spark):
+    import base64
+    seen = []
+
+    def client(request):
+        msg = json.loads(request)
+        seen.append(msg[1]["image_url"]["detail"])
+        data = base64.b64decode(msg[1]["image_url"]["url"].split(",", 1)[1])
+        if data.startswith(b"BAD"):
+            raise ValueError("cannot read")
+        return f"{len(data)} bytes"
+
+    describe = X.image_describer(client)
+    png = (bytes.fromhex(X.PNG_SIGNATURE) + struct.pack(">I", 13) + b"IHDR"
+           + struct.pack(">II", 3, 2) + b"\x08\x02\x00\x00\x00" + b"\x00" * 4)
+    assert _one(spark, "png", png, extractors={"png": describe}) == ("33 bytes", None)
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r>'
+                   f'<w:t>p</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels",
+                   '<Relationships><Relationship Target="media/image1.png"/>'
+                   '<Relationship Target="media/image2.png"/></Relationships>')
+        z.writestr("word/media/image1.png", b"12345")
+        z.writestr("word/media/image2.png", b"BAD")
+    got = _one(spark, "docx", buf.getvalue(), extractors={"docx": X.docx_extractor(describe)})
+    assert got == ("p\n\nImage Descriptions:\n5 bytes", None)
