@@ -39,10 +39,19 @@ def _runner(client, prompt: str, out: str, retries: int, backoff: float):
 
 
 def generate(df: DataFrame, client: Callable[[str], str], prompt: str = "prompt",
-             out: str = "result", retries: int = 3, backoff: float = 0.0) -> DataFrame:
+             out: str = "result", retries: int = 3, backoff: float = 0.0,
+             key: str | None = None, order: str | None = None) -> DataFrame:
+    """One result per row; with ``key`` (and an ``order`` column), one per key: the last
+    row by ``order`` wins, as a later duplicate overwrites an earlier one in a dict."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()),
                                                     T.StructField("error", T.StringType())])
-    return df.mapInPandas(_runner(client, prompt, out, retries, backoff), schema)
+    res = df.mapInPandas(_runner(client, prompt, out, retries, backoff), schema)
+    if key is None:
+        return res
+    from pyspark.sql import functions as F
+    others = [c for c in res.columns if c != key]
+    last = res.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r"))
+    return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
 class ExtractiveClient:

@@ -139,3 +139,10 @@ def test_s9_round_trip_and_missing_key(spark):
     bad = spark.createDataFrame([('{"id": "1", "vector": [1.0]}',)], "json string")
     with pytest.raises(Exception):
         from_vector_json(bad).collect()
+
+
+def test_l7_last_duplicate_wins(spark):
+    df = spark.createDataFrame([("a.png", 1, "x"), ("b.png", 2, "y"), ("a.png", 3, "z")],
+                               "path string, i int, prompt string")
+    got = {r.path: r.result for r in generate(df, str.upper, key="path", order="i").collect()}
+    assert got == {"a.png": "Z", "b.png": "Y"}
