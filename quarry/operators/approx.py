@@ -73,31 +73,39 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
                   n_probe: int = 4, qkeys: list[str] | str = "qid",
                   ids: list[str] | None = None, vec: str = "embedding") -> DataFrame:
     """Top-``k`` by squared L2 among the chunks of each query's ``n_probe`` nearest cells.
-    ``queries`` must fit the broadcast bound (checked as in the exact search)."""
+    Queries are broadcast in size-checked blocks, as in the exact search."""
     qkeys = [qkeys] if isinstance(qkeys, str) else list(qkeys)
     ids = ids or ["doc_id", "pos"]
     spark = indexed.sparkSession
-    from quarry.operators.search import DEFAULT_MAX_BROADCAST_BYTES
-    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if (st["n"] or 0) * (st["d"] or 1) * 8 > DEFAULT_MAX_BROADCAST_BYTES:
-        raise ValueError("query block exceeds the broadcast bound; split the queries")
-    pdf = queries.select(*qkeys, vec).toPandas()
-    qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-    cd = ((qmat[:, None, :] - centroids[None, :, :]) ** 2).sum(-1)
-    near = np.argsort(cd, axis=1)[:, :max(1, min(n_probe, len(centroids)))]
-    probes: dict[int, list[int]] = {}
-    for qi, cells in enumerate(near):
-        for c in cells:
-            probes.setdefault(int(c), []).append(qi)
-    probes_np = {c: np.array(v, dtype=np.int64) for c, v in probes.items()}
-    bc = spark.sparkContext.broadcast((pdf[qkeys].reset_index(drop=True), qmat, probes_np))
+    from quarry.operators.search import DEFAULT_MAX_BROADCAST_BYTES, _query_blocks
+    qsel = queries.select(*qkeys, vec).filter(F.col(vec).isNotNull())
     csel = indexed.select(*ids, vec, "cell")
-    qt = {f.name: f.dataType for f in queries.schema.fields}
+    qt = {f.name: f.dataType for f in qsel.schema.fields}
     ct = {f.name: f.dataType for f in csel.schema.fields}
     schema = T.StructType([T.StructField(c, qt[c]) for c in qkeys]
                           + [T.StructField(c, ct[c]) for c in ids]
                           + [T.StructField("distance", T.DoubleType())])
-    part = csel.mapInPandas(_ivf_kernel(bc, qkeys, ids, vec, k), schema)
+    blocks, _ = _query_blocks(qsel, qkeys, vec, DEFAULT_MAX_BROADCAST_BYTES)
+    parts = []
+    for block in blocks:  # each block is within the broadcast bound
+        pdf = block.toPandas()
+        if pdf.empty:
+            continue
+        qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+        cd = ((qmat[:, None, :] - centroids[None, :, :]) ** 2).sum(-1)
+        near = np.argsort(cd, axis=1)[:, :max(1, min(n_probe, len(centroids)))]
+        probes: dict[int, list[int]] = {}
+        for qi, cells in enumerate(near):
+            for c in cells:
+                probes.setdefault(int(c), []).append(qi)
+        probes_np = {c: np.array(v, dtype=np.int64) for c, v in probes.items()}
+        bc = spark.sparkContext.broadcast((pdf[qkeys].reset_index(drop=True), qmat, probes_np))
+        parts.append(csel.mapInPandas(_ivf_kernel(bc, qkeys, ids, vec, k), schema))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(None).cast("bigint"))
+    part = parts[0]
+    for p in parts[1:]:
+        part = part.unionByName(p)
     w = Window.partitionBy(*qkeys).orderBy(F.round("distance", 6), *ids)
     return (part.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 6))
