@@ -3,9 +3,9 @@
 ``extract_text(files)`` dispatches on ``file_type`` (lower-cased). Text formats (txt, md,
 html/htm, rtf) and PNG headers are decoded by native expressions; JSON, XML, CSV, DOCX and
 JPEG go through Arrow-batched stdlib parsers; PDF and any other format use a caller-supplied
-decoder (``extractors={"pdf": fn}``). The two groups are split with filters, not CASE, so the
-Python worker only receives the rows it must parse. Failures become an ``error`` column,
-never text.
+decoder (``extractors={"pdf": fn}``). One pass over the input: the Python parser receives the
+bytes only of the rows it must parse (NULL for the others) and a single projection picks the
+native or parsed result. Failures become an ``error`` column, never text.
 """
 
 from __future__ import annotations
