@@ -114,6 +114,27 @@ def templates(spark: SparkSession) -> DataFrame:
         "key string, name string, template string, description string, parameters array<string>")
 
 
+# The template that serves each query type (L2 → L12).
+TEMPLATE_FOR_TYPE = [("comparative", "comparison"), ("temporal", "timeline"),
+                     ("sentiment", "sentiment_analysis"), ("trend", "trend_analysis"),
+                     ("semantic", "summary")]
+
+
+def template_demand(spark: SparkSession, questions: DataFrame, text: str = "text") -> DataFrame:
+    """L12 with usage: the template catalog and, per template, how many questions are of
+    the query type it serves (L2). The catalog has 8 rows, so the join broadcasts a
+    constant."""
+    by_type = questions.select(classify_query(text).alias("query_type")).groupBy(
+        "query_type").agg(F.count(F.lit(1)).alias("n_questions"))
+    serve = spark.createDataFrame(TEMPLATE_FOR_TYPE, "query_type string, key string")
+    demand = by_type.join(F.broadcast(serve), "query_type").select("key", "n_questions")
+    cat = templates(spark).select("key", "name", "description",
+                                  F.array_join("parameters", ",").alias("parameters"))
+    return cat.join(F.broadcast(demand), "key", "left").select(
+        "key", "name", "description", "parameters",
+        F.coalesce("n_questions", F.lit(0)).cast("bigint").alias("n_questions"))
+
+
 def summary_prompt(text, limit: int = SUMMARY_LIMIT) -> Column:
     """L1: the summary prompt over the first ``limit`` characters."""
     return format_template(SUMMARY_PROMPT, text=F.substring(col_(text), 1, limit))

@@ -1,4 +1,4 @@
-"""Registered prompt, query-typing and encoding queries."""
+"""Registered prompt, query-typing, encoding and template queries."""
 
 from __future__ import annotations
 
@@ -124,3 +124,27 @@ def l11(spark, sf):
 def l11_sql():
     tpl = P.TEMPLATE_BY_KEY["key_insights"][2]
     return f"SELECT doc_id, {_prompt_sql(tpl, subject='source', file_type='lang')} AS query FROM documents"
+
+
+@query("l12_templates")
+def l12(spark, sf):
+    users = _conv(spark, sf).filter(F.col("role") == "user")
+    return P.template_demand(spark, users)
+
+
+@oracle("l12_templates")
+def l12_sql():
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(text), {D.q(c)})" for c in cues) + f" THEN '{t}'"
+        for t, cues in P.QUERY_TYPES)
+    cat = ", ".join(f"({D.q(k)}, {D.q(n)}, {D.q(d)}, {D.q(','.join(ps))})"
+                    for k, n, _, d, ps in P.TEMPLATES)
+    serve = ", ".join(f"({D.q(t)}, {D.q(k)})" for t, k in P.TEMPLATE_FOR_TYPE)
+    return f"""
+    WITH cat(key, name, description, parameters) AS (VALUES {cat}),
+    serve(query_type, key) AS (VALUES {serve}),
+    q AS (SELECT CASE {cases} ELSE 'semantic' END AS query_type FROM conversations WHERE role = 'user'),
+    d AS (SELECT s.key, count(*) AS n_questions FROM q JOIN serve s USING (query_type) GROUP BY s.key)
+    SELECT c.key, c.name, c.description, c.parameters,
+           CAST(coalesce(d.n_questions, 0) AS BIGINT) AS n_questions
+    FROM cat c LEFT JOIN d USING (key)"""
