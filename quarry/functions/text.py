@@ -7,6 +7,8 @@ Java and RE2 read the same way, which lets the DuckDB oracle reuse them verbatim
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,48 @@ from pyspark.sql import functions as F
 # information separators U+001C-U+001F, NEL U+0085 and every Unicode separator (Z*).
 PY_WS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 
-# Characters that Python's re keeps under [^\w\s.,!?-] once whitespace is collapsed to ' '.
-CLEAN_DROP = r"[^\p{L}\p{N}_ .,!?-]"
+def _ranges(cps: list[int]) -> str:
+    parts, start, prev = [], None, None
+    for cp in cps:
+        if start is not None and cp == prev + 1:
+            prev = cp
+            continue
+        if start is not None:
+            parts.append((start, prev))
+        start = prev = cp
+    if start is not None:
+        parts.append((start, prev))
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts)
+
+
+@functools.lru_cache(maxsize=1)
+def _python_word_codepoints() -> tuple[int, ...]:
+    """Python's \\w: str.isalnum() or '_', from the running Python's Unicode tables."""
+    return tuple(cp for cp in range(0x110000)
+                 if not 0xD800 <= cp <= 0xDFFF and (chr(cp).isalnum() or cp == 0x5F))
+
+
+
+
+def clean_drop_explicit() -> str:
+    return "[^ .,!?\\-" + _ranges(list(_python_word_codepoints())) + "]"
+
+
+@functools.lru_cache(maxsize=1)
+def clean_drop_jvm() -> str:
+    """The same class for Java's regex engine: the fast \\p{L}\\p{N}_ plus the code points
+    Python counts as word characters but the JVM's (older) Unicode tables do not. The delta
+    is found once, on the driver, by one replaceAll in the JVM itself."""
+    base = "[^ .,!?\\-\\p{L}\\p{N}_"
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return base + "]"
+    word = "".join(chr(cp) for cp in _python_word_codepoints())
+    pattern = sc._jvm.java.util.regex.Pattern.compile("[\\p{L}\\p{N}_]")
+    rest = pattern.matcher(word).replaceAll("")
+    return base + _ranges(sorted({ord(ch) for ch in rest})) + "]"
+
 
 # Named character references decoded natively, in the order applied
 # ("&amp;" goes last so that "&amp;lt;" becomes "&lt;", as a single decoding pass does).
@@ -55,7 +97,7 @@ def clean_text(c) -> Column:
     The deletion runs after the collapse, so the only whitespace left is ' ' and trim()
     (spaces) equals Python's strip() here; double spaces left by the deletion stay.
     """
-    return F.trim(F.regexp_replace(collapse_ws(c), CLEAN_DROP, ""))
+    return F.trim(F.regexp_replace(collapse_ws(c), clean_drop_jvm(), ""))
 
 
 # Numeric character references (decimal or hex, with the semicolon).

@@ -9,7 +9,7 @@ from __future__ import annotations
 from quarry.functions import html as H
 from quarry.functions import urls as U
 from quarry.functions import validate as V
-from quarry.functions.text import CLEAN_DROP, HTML_ENTITIES, PY_WS
+from quarry.functions.text import HTML_ENTITIES, PY_WS, clean_drop_explicit
 
 
 def q(s: str) -> str:
@@ -53,7 +53,7 @@ def word_count(x: str) -> str:
 
 
 def clean_text(x: str) -> str:
-    return f"trim({rr(rr(x, PY_WS + '+', ' '), CLEAN_DROP)})"
+    return f"trim({rr(rr(x, PY_WS + '+', ' '), clean_drop_explicit())})"
 
 
 def _num_ref_char(r: str) -> str:
