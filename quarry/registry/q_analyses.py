@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import PY_WS
 from quarry.operators import analyses as A
 from quarry.registry import duck as D
 from quarry.registry.oracle import oracle, with_

@@ -10,7 +10,6 @@ from quarry.operators import prompts as P
 from quarry.registry import duck as D
 from quarry.registry.oracle import oracle, with_
 from quarry.registry.queries import query
-from quarry.sources.derived import CATALOG_EXTS
 from quarry.sources.tables import table
 
 
