@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, drop_stored, shingles, stored, utf8, words
+from quarry.llm.common import ALNUM, shingles, stored, utf8, words
 
 WINDOW = 10
 SHINGLE = 3

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, stored, utf8, words
+from quarry.llm.common import ALNUM, utf8, words
 
 #: Phrases and the labels that they stand for.
 PHRASES = {

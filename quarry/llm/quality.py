@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold_remainder, mix, stored, sum_vectors, utf8, words
+from quarry.llm.common import fold_remainder, stored, sum_vectors, utf8, words
 
 TOKENS = 1 << 14
 DIMS = 64
