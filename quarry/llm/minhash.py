@@ -14,9 +14,11 @@ Plan (every intermediate is a written table):
 3. a bucket is the nodes of one band key. Its hub is its member that meets most others over all
    buckets; every member is compared with the hub only: rows = nodes x bands at most;
 4. the links found are joined into components. Members of one bucket that are then still in
-   different components are compared block by block on their signatures, and every pair whose
-   estimate is not hopeless (0.2 below the threshold) goes to the exact check as well, so no link
-   between components is lost to the star;
+   different components are compared block by block, each pair in the first band that it shares:
+   first on signatures (hopeless if 0.2 below the threshold), then on consistent samples of the
+   sets, which are the whole sets up to ``SAMPLE`` shingles and decide there. What remains goes to
+   the exact check as well, so no link between components is lost to the star, and a large group
+   of texts that are nearly but not quite near copies yields links, not pairs;
 5. pairs are confirmed on full shingle sets: the hub's set streams ahead of its partners' sets
    through sorted partitions, one hub in memory at a time, a hot hub dealt over many blocks.
 """
@@ -36,7 +38,10 @@ from quarry.llm.common import (SPACED, connected_components, drop_stored, mix, s
 BANDS = 32          # half of them of minima, half of maxima
 ROWS = 5
 SLACK = 0.2         # of the estimate from 160 values: over 6 standard deviations at 0.8
-BLOCK = 256         # nodes of a bucket compared in one group
+SAMPLE = 512        # shingles of a set that are compared whole; of larger sets every 2nd, 4th, ...
+SAMPLE_SLACK = 0.12     # of the estimate from 256 to 512 sampled shingles: over 5 of them
+BLOCK = 1024        # nodes of a bucket compared in one group
+MAX_BROADCAST_IDS = 2_000_000   # 16 bytes each
 PARTNERS = 512      # partners of a hub checked in one group
 
 _SIGN = "doc_id {id}, t long, n_shingles long, node binary, keys array<long>, sig binary"
@@ -126,24 +131,58 @@ def _checker(threshold: int):
     return run
 
 
+def _level(n: int) -> int:
+    """Of a set of ``n`` shingles one in 2**level is sampled."""
+    return max(0, (max(n, 1) - 1).bit_length() - (SAMPLE - 1).bit_length())
+
+
+def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for v in batch.column(1):
+            x = np.frombuffer(v.as_buffer(), np.uint64)
+            x = x[x & np.uint64((1 << _level(len(x))) - 1) == 0]
+            out.append(x.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())],
+                                         names=["node", "sample"])
+
+
+def _hopeful(x: np.ndarray, y: np.ndarray, n: int, m: int, threshold: int) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles may be similar enough, by their samples."""
+    level = max(_level(n), _level(m))
+    if level:
+        keep = np.uint32((1 << level) - 1)
+        x, y = x[x & keep == 0], y[y & keep == 0]
+    if not len(x) or not len(y):
+        return level > 0
+    pos = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[pos] == y).sum())
+    union = len(x) + len(y) - both
+    return 100 * both >= (threshold - (100 * SAMPLE_SLACK if level else 0)) * union
+
+
 def _estimator(threshold: int, slack: float):
-    """Rows sorted by (key, bi, bj): pairs of different components with a fair estimate."""
+    """Rows sorted by (key, bi, bj): pairs of different components that may be links."""
     least = threshold / 100 - slack
 
     def pairs(rows):
-        nodes, comps, blk, n, sig = zip(*rows)
+        nodes, comps, blk, n, sig, band, keys, samples = zip(*rows)
         blk, n = np.array(blk), np.array(n, np.int64)
         number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
         comp = np.array([number[c] for c in comps])
         s = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rows), -1)
+        k = np.array(keys, np.int32)[:, :band[0] + 1]
+        x = [np.sort(np.frombuffer(v, np.uint32)) for v in samples]
         for i in range(len(rows)):
             j = np.arange(i + 1, len(rows))
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i])
                                           >= threshold * np.maximum(n[j], n[i]))]
             if blk.min() != blk.max():
                 j = j[blk[j] != blk[i]]
-            if len(j):
-                for t in j[(s[j] == s[i]).mean(axis=1) >= least]:
+            j = j[(s[j] == s[i]).mean(axis=1) >= least]
+            j = j[~(k[j, :-1] == k[i, :-1]).any(axis=1)]
+            for t in j:
+                if _hopeful(x[i], x[t], int(n[i]), int(n[t]), threshold):
                     yield (nodes[i], nodes[t]) if nodes[i] < nodes[t] else (nodes[t], nodes[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +193,13 @@ def _estimator(threshold: int, slack: float):
                  pa.array([p[1] for p in found], pa.binary())], names=["u", "v"])
         now, rows = None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for key, bi, bj, node, comp, blk, n, sig in zip(*cols):
+            cols = [batch.column(i).to_pylist() for i in range(11)]
+            for key, bi, bj, *row in zip(*cols):
                 if (key, bi, bj) != now:
                     if len(rows) > 1:
                         yield emit(rows)
                     now, rows = (key, bi, bj), []
-                rows.append((node, comp, blk, n, sig))
+                rows.append(row)
         yield emit(rows)
     return run
 
@@ -202,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
         F.first("sig").alias("sig")), "minhash-nodes")
 
     # Buckets of two and more nodes.
-    rows_of = nodes.select("node", "n", F.explode("keys").alias("key"))
+    rows_of = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     sizes = rows_of.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = stored(rows_of.join(sizes, "key"), "minhash-buckets")
     degree = members.groupBy("node").agg(F.sum("m").alias("deg"))
@@ -220,8 +259,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
 
     # Full sets of the nodes that share a bucket with another one, from their texts.
     shared = members.select("node").distinct()
-    one = (sets_of.join(shared, "node", "left_semi").groupBy("node")
-           .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    one = stored(sets_of.join(shared, "node", "left_semi").groupBy("node")
+                 .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(),
+                 "minhash-ids")
+    one_table = one
+    if one.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        one = F.broadcast(one)      # else the texts are shuffled once
     texts = (src.join(one, "doc_id", "left_semi").select("text")
              .unionByName(src.filter(F.col("doc_id").isNull()).select("text")))
     sets = stored(texts.mapInArrow(_setter(shingle_words), "node binary, set binary")
@@ -236,12 +279,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
                                       ).filter("c0 <> c1").select("key")
     nblk = F.ceil(F.col("m") / BLOCK).cast("int")
     blk = F.pmod(F.xxhash64("node", "key"), nblk).cast("int")
-    rest = (placed.filter("m > 2").join(mixed, "key", "left_semi")
-            .join(nodes.select("node", "sig"), "node")
-            .withColumn("nb", nblk).withColumn("blk", blk)
+    rest = placed.filter("m > 2").join(mixed, "key", "left_semi")
+    samples = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _sampler, "node binary, sample binary")
+    short = F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    known = stored(nodes.select("node", "sig", short.alias("keys")).join(samples, "node"),
+                   "minhash-samples")
+    rest = (rest.withColumn("nb", nblk).withColumn("blk", blk)
+            .join(known, "node")
             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .select("key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"),
-                    "node", "comp", "blk", "n", "sig"))
+                    "node", "comp", "blk", "n", "sig", "band", "keys", "sample"))
     n_part = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = (rest.repartition(n_part, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
             .mapInArrow(_estimator(threshold, SLACK), "u binary, v binary").distinct())
@@ -254,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
                            "minhash-comps")
         drop_stored(comps)
         comps = new_comps
-    drop_stored(members, star, sets, links, more, nodes)
+    drop_stored(members, star, sets, links, more, nodes, known, one_table)
 
     # Components by the smallest document id.
     ids = signed.select("doc_id", "t", "n_shingles", "node").join(
