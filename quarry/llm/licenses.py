@@ -153,12 +153,14 @@ def _scan(scanner: Scanner):
                 h, s, _ = words(raw, ALNUM)
                 base = scanner.places(h)
                 labels, spans, best = {x for _, x in base}, [], 1.0 if base else 0.0
+                top: dict[int, tuple] = {}
                 if len(h):
                     for t, share, lo, hi in scanner.blocks(raw, s, scanner.token_ids(h)):
-                        label = scanner.templates[t][3]
-                        labels.add(label)
+                        tokens, _, _, label = scanner.templates[t]
+                        top[lo] = max(top.get(lo, (0.0, 0, "")), (share, len(tokens), label))
                         best = max(best, share)
                         spans.append({"label": label, "start": lo, "end": hi, "share": share})
+                labels.update(label for _, _, label in top.values())
                 at = [i for i, _ in base]
                 row = (len(h), len(at), min(at, default=None), max(at, default=None),
                        ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best,
@@ -180,7 +182,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES,
                   ) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): doc_id, n_words, n_base (places of
     base phrases), first_word, last_word (smallest and largest start; null without one),
-    base_labels, labels (base and template labels, sorted), score (1 with a base phrase, else the
+    base_labels, labels (base labels and each block's best template: the largest containment, then
+    the longest template; sorted), score (1 with a base phrase, else the
     best template containment, 0 without a match), blocks (the matching blocks: label, word span,
     containment).
 

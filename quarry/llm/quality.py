@@ -7,7 +7,7 @@ table has a fixed size; entries are integers and are added by a tree of sums, so
 the same table. Tokens are case-sensitive runs of word characters or of punctuation.
 
 A document is pooled as the mean of its tokens' unit context vectors, once plainly and once with
-weights falling with a token's corpus frequency. A two-layer network (numpy, Adam, fixed seed) is
+weights falling with a token's corpus frequency, with the lengths of both means. A two-layer network (numpy, Adam, fixed seed) is
 trained on a bounded sample of ``SAMPLE`` labelled documents (those with the smallest id hashes);
 a fifth of it is held back to choose the temperature that calibrates the probabilities.
 """
@@ -30,6 +30,7 @@ REACH = 2
 SAMPLE = 20_000     # labelled documents that train the network
 HIDDEN = 32
 THRESHOLD = 0.7
+POOLED = 2 * DIMS + 2
 _PARTS = 16         # the table travels in slices
 
 _WORD = np.zeros(256, bool)
@@ -98,10 +99,13 @@ class Vectors:
     def pool(self, raw: bytes | None) -> np.ndarray:
         t = tokens(raw)
         if not len(t):
-            return np.zeros(2 * DIMS, np.float32)
+            return np.zeros(POOLED, np.float32)
         ids, n = np.unique(t, return_counts=True)
         u, w = self.unit[ids], n * self.weight[ids]
-        return np.concatenate((n @ u / n.sum(), w @ u / w.sum())).astype(np.float32)
+        plain, rare = n @ u / n.sum(), w @ u / w.sum()
+        # The lengths tell how alike the tokens are: 1 for a single one repeated.
+        return np.concatenate((plain, rare, [np.linalg.norm(plain), np.linalg.norm(rare)])
+                              ).astype(np.float32)
 
 
 def word_vectors(docs: DataFrame) -> Vectors:
@@ -114,7 +118,7 @@ def word_vectors(docs: DataFrame) -> Vectors:
 
 
 def pooled(docs: DataFrame, vectors: Vectors) -> DataFrame:
-    """doc_id, x (array of 2 * DIMS floats) per row of ``docs``."""
+    """doc_id, x (array of POOLED floats) per row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +199,7 @@ def train(vectors_of: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net
     rows = (vectors_of.join(marked, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("o"))
             .orderBy("o").limit(sample).collect())
     if not rows:
-        return Network(np.zeros((1, 2 * DIMS)), np.ones(1))
+        return Network(np.zeros((1, POOLED)), np.ones(1))
     return Network(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
 
 
@@ -215,7 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             score = net.value.predict(flat.reshape(batch.num_rows, -1).astype(np.float64)
-                                      if batch.num_rows else np.zeros((0, 2 * DIMS)))
+                                      if batch.num_rows else np.zeros((0, POOLED)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64()),
                  pa.array((score >= THRESHOLD).astype(np.int32))],
