@@ -8,7 +8,7 @@ the same table. Tokens are case-sensitive runs of word characters or of punctuat
 
 A document is pooled as the mean of its tokens' unit context vectors, once plainly and once with
 weights falling with a token's corpus frequency, with the lengths of both means. A two-layer network (numpy, Adam, fixed seed) is
-trained on a bounded sample of ``SAMPLE`` labelled documents (those with the smallest id hashes);
+trained on a bounded sample of ``SAMPLE`` labelled documents (chosen by id hash);
 a fifth of it is held back to choose the temperature that calibrates the probabilities.
 """
 
@@ -191,13 +191,17 @@ class Network:
 
 
 def train(vectors_of: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` rows of ``vectors_of`` (doc_id, x) that ``labels`` (doc_id,
-    quality) marks 0 or 1: those with the smallest id hashes. An id with several labels counts
+    """Fit on about ``sample`` rows of ``vectors_of`` (doc_id, x) that ``labels`` (doc_id,
+    quality) marks 0 or 1: those whose id hash lies in that share of all hashes. An id with several labels counts
     once, with the smallest."""
     marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.min("quality").alias("y"))
-    rows = (vectors_of.join(marked, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("o"))
-            .orderBy("o").limit(sample).collect())
+    n = marked.count()
+    share = int(min(1.0, sample / max(1, n)) * (1 << 30))
+    some = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    # About ``sample`` rows, in an order of their own.
+    rows = sorted(vectors_of.join(some, "doc_id").select(
+        F.xxhash64("doc_id").alias("o"), "x", "y").collect(), key=lambda r: (r["o"], r["x"]))
     if not rows:
         return Network(np.zeros((1, POOLED)), np.ones(1))
     return Network(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
