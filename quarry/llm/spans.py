@@ -134,6 +134,8 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     firsts = (found.select("h", "g", place.alias("p")).groupBy("h", "g")
               .agg(F.min("p").alias("lo"), F.max("p").alias("hi")).filter("lo <> hi")
               .select("h", "g", "lo"))
+    # Written, so that both sides of the next join are plain shuffles, which can be split.
+    firsts = stored(firsts, "spans-firsts")
     later = (found.join(firsts, ["h", "g"]).filter(place != F.col("lo"))
              .select("doc_id", "t", "i", "j"))
     # At most one entry per sentence of the document.
@@ -141,7 +143,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
         F.collect_set(F.struct("i", "j")).alias("cover")).withColumnsRenamed(
         {"doc_id": "c_id", "t": "c_t"})
     covers = stored(covers, "spans-cover")
-    drop_stored(found)
+    drop_stored(found, firsts)
     joined = src.join(covers, src["doc_id"].eqNullSafe(covers["c_id"])
                       & (src["t"] == covers["c_t"]), "left")
     return joined.select("doc_id", "text", "cover").mapInArrow(
