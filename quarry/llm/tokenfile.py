@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 16
-MAX_WORDS = 1_000_000       # entries of a worker's word cache, about 200 MB
+MAX_WORDS = 400_000         # entries of a worker's word cache, about 90 MB
 _MARK = "\x01"
 
 
