@@ -224,6 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             score = net.value.predict(flat.reshape(batch.num_rows, -1).astype(np.float64)
                                       if batch.num_rows else np.zeros((0, POOLED)))
+            score = np.round(score, 9)      # the same whatever batch a row came in
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64()),
                  pa.array((score >= THRESHOLD).astype(np.int32))],
