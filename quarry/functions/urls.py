@@ -119,11 +119,10 @@ def _urljoin_batch(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def resolve_urls(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
-    """Add ``out`` = urljoin(base, href). Native for the common forms; only rows that need
-    dot-segment removal go through an Arrow-batched stdlib call (filter, not CASE, so the
-    Python worker never sees the native rows)."""
-    nat = df.withColumn(out, _native_resolve(F.col(base), F.col(href)))
-    simple = nat.filter(F.col(out).isNotNull() | F.col(href).isNull() | F.col(base).isNull())
-    hard = nat.filter(F.col(out).isNull() & F.col(href).isNotNull() & F.col(base).isNotNull())
-    hard = hard.withColumn(out, F.pandas_udf(_urljoin_batch, "string")(F.col(base), F.col(href)))
-    return simple.unionByName(hard)
+    """Add ``out`` = urljoin(base, href). Native for the common forms; rows that need dot-segment
+    removal go through an Arrow-batched stdlib call. The input is read once: a resolved row
+    crosses to the Python worker as nulls."""
+    native = df.withColumn(out, _native_resolve(F.col(base), prep_url(href)))
+    rest = F.when(F.col(out).isNull(), F.col(base))
+    joined = F.pandas_udf(_urljoin_batch, "string")(rest, F.when(F.col(out).isNull(), F.col(href)))
+    return native.withColumn(out, F.coalesce(F.col(out), joined))

@@ -166,12 +166,19 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, by: str, key: str = "doc_id",
         F.round(F.max("score"), 6).alias("max_score"))
 
 
+#: Periods that start at midnight: their label is a date, shorter ones keep the time.
+WHOLE_DAYS = {"day", "dd", "week", "month", "mon", "mm", "quarter", "year", "yyyy", "yy"}
+
+
 def trend(rows: DataFrame, match: Column, ts: str = "ts", period: str = "day",
           window: int = 3) -> DataFrame:
     """Matching rows per period, change from the previous period and the moving
     average over the last ``window`` periods. Windows run over the per-period counts (one
     row per period), not over the rows."""
-    per = rows.filter(match).groupBy(F.to_date(F.date_trunc(period, F.col(ts))).alias("period")).agg(
+    start = F.date_trunc(period, F.col(ts))
+    if period.lower() in WHOLE_DAYS:
+        start = F.to_date(start)
+    per = rows.filter(match).groupBy(start.alias("period")).agg(
         F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("period")
     return per.select("period", "n", (F.col("n") - F.lag("n").over(w)).alias("change"),

@@ -32,7 +32,11 @@ def ingest_files(files: DataFrame, now=None, extractors: dict[str, Callable] | N
     rejected = checked.filter(~F.col("_v.ok")).select(
         "path", "filename", F.col("_v.error").alias("error"))
     accepted = checked.filter(F.col("_v.ok")).drop("_v")
-    members = expand_archives(accepted)
+    expanded = expand_archives(accepted)
+    broken = expanded.filter(F.col("error").isNotNull()).select(
+        F.col("archive_path").alias("path"),
+        F.element_at(F.split("archive_path", "/"), -1).alias("filename"), "error")
+    members = expanded.filter(F.col("error").isNull())
     extracted = extract_text(members.drop("error", "modificationTime")
                              if "modificationTime" in members.columns else members.drop("error"),
                              extractors)
@@ -45,7 +49,7 @@ def ingest_files(files: DataFrame, now=None, extractors: dict[str, Callable] | N
     rows = embed(chunks, embedder, text="page_content") if embedder is not None else chunks
     if index_path is not None:
         write_index(rows, index_path)
-    return rows, rejected.unionByName(failed)
+    return rows, rejected.unionByName(failed).unionByName(broken)
 
 
 def ingest_site(pages: DataFrame, links: DataFrame, starts, now=None, max_pages: int = 100,

@@ -47,8 +47,8 @@ ARCHIVE_SCHEMA = T.StructType([
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
         for archive, data in zip(pdf["path"], pdf["content"]):
+            rows = []       # one archive in memory at a time
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     for info in z.infolist():
@@ -56,9 +56,9 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             continue  # directory entry
                         member = z.read(info.filename)
                         rows.append((archive, info.filename, len(member), member, None))
-            except (zipfile.BadZipFile, OSError, ValueError) as e:
+            except Exception as e:  # corrupt, encrypted or unsupported: a row, not a failed job
                 rows.append((archive, None, None, None, f"Error reading archive: {e}"))
-        yield pd.DataFrame(rows, columns=[f.name for f in ARCHIVE_SCHEMA.fields])
+            yield pd.DataFrame(rows, columns=[f.name for f in ARCHIVE_SCHEMA.fields])
 
 
 def expand_archives(files: DataFrame) -> DataFrame:

@@ -59,8 +59,14 @@ def write_index(chunks: DataFrame, path: str, mode: str = "append") -> str:
     cols = [c for c in chunks.columns if c != "embedding"] + (
         ["embedding"] if "embedding" in chunks.columns else [])
     data = chunks.select(*cols)
+    spark = data.sparkSession
+    before = _read_schema(spark, path) if mode == "append" else None
     data.write.mode(mode).partitionBy("file_type").parquet(path)
-    _write_schema(data.sparkSession, path, data.schema)
+    # File and web rows share one index: columns that some rows lack are null in those.
+    known = set(data.schema.names)
+    more = [f for f in (before.fields if before is not None else []) if f.name not in known]
+    _write_schema(spark, path, T.StructType([
+        T.StructField(f.name, f.dataType, True) for f in [*data.schema.fields, *more]]))
     return path
 
 
@@ -71,8 +77,9 @@ def read_index(spark: SparkSession, path: str, schema: T.StructType | None = Non
         if schema is None:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
-    df = spark.read.parquet(path)
-    return df.select(*schema.names) if schema is not None else df
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def all_documents(spark: SparkSession, path: str, content: str = "page_content",
