@@ -265,7 +265,7 @@ def _python_parse(parsers: dict[str, Callable]):
                 errors.append(None)
             except Exception as e:  # the row fails, not the job
                 texts.append(None)
-                errors.append(f"Error processing {t}: {type(e).__name__}: {e}"[:1000])
+                errors.append(f"Error processing {t}: {type(e).__name__}: {e}")
         return pd.DataFrame({"text": texts, "error": errors})
     return run
 

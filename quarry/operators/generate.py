@@ -26,7 +26,7 @@ def _runner(client, prompt: str, out: str, retries: int, backoff: float):
                 last = e
                 if backoff:
                     time.sleep(backoff * (attempt + 1))
-        return None, f"{type(last).__name__}: {last}"[:1000]
+        return None, f"{type(last).__name__}: {last}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -135,9 +135,10 @@ def template_demand(spark: SparkSession, questions: DataFrame, text: str = "text
         F.coalesce("n_questions", F.lit(0)).cast("bigint").alias("n_questions"))
 
 
-def summary_prompt(text, limit: int = SUMMARY_LIMIT) -> Column:
-    """L1: the summary prompt over the first ``limit`` characters."""
-    return format_template(SUMMARY_PROMPT, text=F.substring(col_(text), 1, limit))
+def summary_prompt(text, limit: int | None = None) -> Column:
+    """L1: the summary prompt over the whole text, or over its first ``limit`` characters."""
+    body = col_(text) if limit is None else F.substring(col_(text), 1, limit)
+    return format_template(SUMMARY_PROMPT, text=body)
 
 
 def classify_query(q) -> Column:

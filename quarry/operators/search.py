@@ -129,8 +129,9 @@ def unique_union(results: DataFrame, keys: list[str], rank: str | None = "rank")
     if rank is None or rank not in results.columns:
         return results.select(*keys).distinct()
     other = [c for c in results.columns if c not in keys and c != rank]
-    aggs = [F.min(rank).alias(rank)] + [F.min_by(c, F.col(rank)).alias(c) for c in other]
-    return results.groupBy(*keys).agg(*aggs)
+    # One struct, so that tied ranks never mix the columns of two rows.
+    best = results.groupBy(*keys).agg(F.min(F.struct(rank, *other)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in [rank, *other]])
 
 
 def multi_query_search(variants: DataFrame, chunks: DataFrame, k: int = 5, qkey: str = "qid",

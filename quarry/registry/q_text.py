@@ -44,7 +44,7 @@ def v3_sql():
 
 @query("l1_summary_prompt")
 def l1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.summary_prompt("text").alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", P.summary_prompt("text", limit=4000).alias("prompt"))
 
 
 @oracle("l1_summary_prompt")

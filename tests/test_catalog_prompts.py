@@ -99,7 +99,7 @@ def test_l11_template(spark):
 
 def test_l1_l5_l6_prompts(spark):
     df = spark.createDataFrame([("q", "ctx", "x" * 5000)], "q string, c string, t string")
-    r = df.select(P.summary_prompt("t").alias("s"), P.answer_prompt("c", "q").alias("a"),
+    r = df.select(P.summary_prompt("t", limit=4000).alias("s"), P.answer_prompt("c", "q").alias("a"),
                   P.reword_prompt("q").alias("w")).first()
     assert r.s == P.SUMMARY_PROMPT.format(text="x" * 4000)
     assert r.a == P.ANSWER_PROMPT.format(context="ctx", query="q")
