@@ -44,12 +44,12 @@ def v3_sql():
 
 @query("l1_summary_prompt")
 def l1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.summary_prompt("text", limit=4000).alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", P.summary_prompt("text").alias("prompt"))
 
 
 @oracle("l1_summary_prompt")
 def l1_sql():
-    return (f"SELECT doc_id, {_prompt_sql(P.SUMMARY_PROMPT, text='substring(text, 1, 4000)')} "
+    return (f"SELECT doc_id, {_prompt_sql(P.SUMMARY_PROMPT, text='text')} "
             f"AS prompt FROM documents")
 
 
