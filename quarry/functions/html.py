@@ -1,9 +1,10 @@
 """HTML column functions (E3, W8-W12) as native regular-expression pipelines.
 
 The page is never parsed into a tree: each step is a regexp_replace / split / transform over
-the HTML string, so a scrape of millions of pages is one narrow, code-generated stage.
-Documented deviations from a tree parser: a lazily matched element ends at the first closing
-tag of its name (same-name nesting truncates), and an unclosed <p> ends at the next block tag
+the HTML string, so a scrape of millions of pages is one narrow stage. Elements are matched by
+depth: the text is split before the tags of one name and the pieces are folded with a depth
+counter. Documented deviations from a tree parser: an element to remove that is never closed
+stays, and an unclosed <p> ends at the next block tag or at the close of the container around it
 instead of swallowing the rest of the page (each text node belongs to its nearest block).
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import PY_WS, clean_text, col_, decode_entities, py_strip, word_count
 
 MARK = "\x01"
+# Before an attribute's name: "data-href" is another attribute than "href".
+ATTR_START = r"""(?<=[\s"'/])"""
 
 # Raw-text elements and comments are found together, leftmost first, like a parser does.
 RAW_AND_COMMENTS = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>"
@@ -22,32 +25,89 @@ RAW_AND_COMMENTS = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>"
 # Subtrees removed before any extraction, in the order applied.
 BOILERPLATE_TAGS = ["iframe", "nav", "footer"]
 BLOCK_TAGS = r"p|h[1-6]"
-# A block's text ends at its own closing tag or at the close of an enclosing container.
-BLOCK_END = (r"</(?:p|h[1-6]|div|article|section|main|body|html|li|ul|ol|table|tr|td|th"
-             r"|blockquote|header|aside|form|dl|dt|dd)\s*>")
+# Elements whose close ends an unclosed block inside them.
+CONTAINER_TAGS = (r"div|article|section|main|body|html|li|ul|ol|table|tr|td|th"
+                  r"|blockquote|header|aside|form|dl|dt|dd")
+# The opening tag of the first div that may hold the main text.
+_MAIN_WORD = "(?-i:content|main|article)"
+MAIN_DIV = (r"""<div\s(?:[^>]*[\s"'])?class\s*=\s*"""
+            rf"""(?:"[^">]*{_MAIN_WORD}|'[^'>]*{_MAIN_WORD}|[^\s"'>]*{_MAIN_WORD})[^>]*>""")
 
 
 def strip_boilerplate(c) -> Column:
     """Remove script, style, comments, then iframe, nav and footer subtrees."""
     x = F.regexp_replace(col_(c), RAW_AND_COMMENTS, "")
     for tag in BOILERPLATE_TAGS:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+        x = _without_element(x, tag)
     return x
 
 
+def _tag_pieces(x: Column, names: str) -> Column:
+    """The text split before every opening and closing tag of ``names``."""
+    return F.split(x, rf"(?i)(?=<(?:{names})[\s/>]|</(?:{names})\s*>)")
+
+
+def _opens(piece: Column, names: str) -> Column:
+    return piece.rlike(rf"(?i)^<(?:{names})[\s/>]")
+
+
+def _closes(piece: Column, names: str) -> Column:
+    return piece.rlike(rf"(?i)^</(?:{names})\s*>")
+
+
+def _strings(*items) -> Column:
+    return F.array(*items).cast("array<string>")
+
+
+def _without_element(x: Column, tag: str) -> Column:
+    """The text without the elements ``tag``, nested ones included. State of the fold: depth,
+    text kept, and text held back since the last tag in case the element is never closed."""
+    none = _strings()
+
+    def step(s, p):
+        depth, out, held = s["depth"], s["out"], s["held"]
+        opening, inside = _opens(p, tag), depth > 0
+        closing = _closes(p, tag) & inside
+        rest = _strings(F.regexp_replace(p, r"^</[^>]*>", ""))
+        depth2 = F.when(opening, depth + 1).when(closing, depth - 1).otherwise(depth)
+        return F.struct(
+            depth2.alias("depth"),
+            F.when(closing & (depth == 1), F.concat(out, rest))
+            .when(closing | opening | inside, out)
+            .otherwise(F.concat(out, _strings(p))).alias("out"),
+            F.when(closing, F.when(depth == 1, none).otherwise(rest))
+            .when(opening | inside, F.concat(held, _strings(p)))
+            .otherwise(held).alias("held"))
+    start = F.struct(F.lit(0).alias("depth"), none.alias("out"), none.alias("held"))
+    return F.aggregate(_tag_pieces(x, tag), start, step,
+                       lambda s: F.array_join(F.concat(s["out"], s["held"]), ""))
+
+
+def _until_close(x: Column, names: str) -> Column:
+    """The text up to the closing tag of ``names`` that no tag in it opened, or all of it."""
+    def step(s, p):
+        closing = _closes(p, names)
+        depth = (F.when(s["depth"] < 0, s["depth"]).when(closing, s["depth"] - 1)
+                 .when(_opens(p, names), s["depth"] + 1).otherwise(s["depth"]))
+        return F.struct(depth.alias("depth"), F.when(depth < 0, s["out"]).otherwise(
+            F.concat(s["out"], _strings(p))).alias("out"))
+    start = F.struct(F.lit(0).alias("depth"), _strings().alias("out"))
+    return F.aggregate(_tag_pieces(x, names), start, step,
+                       lambda s: F.array_join(s["out"], ""))
+
+
 def _element_inner(x: Column, open_re: str, tag: str) -> tuple[Column, Column]:
-    pat = rf"(?is){open_re}(.*?)(?:</{tag}\s*>|\z)"
-    return x.rlike(pat), F.regexp_extract(x, pat, 1)
+    rest = F.regexp_extract(x, rf"(?is){open_re}(.*)\z", 1)
+    return x.rlike(rf"(?is){open_re}"), _until_close(rest, tag)
 
 
 def main_region(c) -> Column:
     """struct(kind, html) - first <main>, else first <article>, else the first <div> whose
-    class contains content|main|article, else the whole page."""
+    class contains content|main|article (in lower case), else the whole page."""
     x = col_(c)
-    has_main, main = _element_inner(x, r"<main\b[^>]*>", "main")
-    has_art, art = _element_inner(x, r"<article\b[^>]*>", "article")
-    has_div, div = _element_inner(
-        x, r"""<div\b[^>]*\bclass\s*=\s*["']?[^"'>]*(?:content|main|article)[^>]*>""", "div")
+    has_main, main = _element_inner(x, r"<main(?=[\s/>])[^>]*>", "main")
+    has_art, art = _element_inner(x, r"<article(?=[\s/>])[^>]*>", "article")
+    has_div, div = _element_inner(x, MAIN_DIV, "div")
     kind = (F.when(has_main, "main").when(has_art, "article").when(has_div, "div")
             .otherwise("page"))
     html = F.when(has_main, main).when(has_art, art).when(has_div, div).otherwise(x)
@@ -60,11 +120,11 @@ def block_texts(c) -> Column:
     marked = F.regexp_replace(col_(c), rf"(?i)<({BLOCK_TAGS})\b", MARK + "<$1")
     pieces = F.split(marked, MARK)
     blocks = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(
-        blocks,
-        lambda p: decode_entities(F.regexp_replace(
-            F.regexp_extract(p, rf"(?is)^<[^>]*>(.*?)(?:{BLOCK_END}|\z)", 1),
-            r"<[A-Za-z/!?][^>]*>", "")))
+    inner = F.transform(blocks, lambda p: _until_close(
+        F.regexp_extract(p, rf"(?is)^<[^>]*>(.*?)(?:</(?:{BLOCK_TAGS})\s*>|\z)", 1),
+        CONTAINER_TAGS))
+    return F.transform(inner, lambda p: decode_entities(
+        F.regexp_replace(p, r"<[A-Za-z/!?][^>]*>", "")))
 
 
 def kept_blocks(c, min_words: int = 4) -> Column:
@@ -81,15 +141,15 @@ def page_text(c, min_words: int = 4) -> Column:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    dq = F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
-    sq = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*([^\s"'>]+)""", 1)
-    return (F.when(tag.rlike(rf'(?is)\b{name}\s*=\s*"'), dq)
-            .when(tag.rlike(rf"(?is)\b{name}\s*=\s*'"), sq).otherwise(bare))
+    dq = F.regexp_extract(tag, rf'(?is){ATTR_START}{name}\s*=\s*"([^"]*)"', 1)
+    sq = F.regexp_extract(tag, rf"(?is){ATTR_START}{name}\s*=\s*'([^']*)'", 1)
+    bare = F.regexp_extract(tag, rf"""(?is){ATTR_START}{name}\s*=\s*([^\s"'>]+)""", 1)
+    return (F.when(tag.rlike(rf'(?is){ATTR_START}{name}\s*=\s*"'), dq)
+            .when(tag.rlike(rf"(?is){ATTR_START}{name}\s*=\s*'"), sq).otherwise(bare))
 
 
 def _meta(x: Column, attr: str, value: str) -> Column:
-    pat = rf"""(?is)<meta\b[^>]*\b{attr}\s*=\s*["']?{value}["'\s/>][^>]*>"""
+    pat = rf"""(?is)<meta\b[^>]*{ATTR_START}{attr}\s*=\s*["']?{value}["'\s/>][^>]*>"""
     tag = F.regexp_extract(x, pat, 0)
     return F.when(x.rlike(pat), py_strip(decode_entities(_attr(tag, "content"))))
 
@@ -122,5 +182,5 @@ def html_text(c) -> Column:
 def anchors(c) -> Column:
     """W4 input: href values of every <a> that has one, entity-decoded, in page order."""
     tags = F.regexp_extract_all(col_(c), F.lit(r"(?is)<a\s[^>]*>"), 0)
-    with_href = F.filter(tags, lambda t: t.rlike(r"(?is)\bhref\s*="))
+    with_href = F.filter(tags, lambda t: t.rlike(rf"(?is){ATTR_START}href\s*="))
     return F.transform(with_href, lambda t: decode_entities(_attr(t, "href")))

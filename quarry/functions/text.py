@@ -1,13 +1,13 @@
 """Column functions for text: whitespace, words, cleaning, HTML entities.
 
 All of them are native Spark expressions (regexp_replace / split / transform), so they stay
-inside whole-stage code generation. The regular expressions are written in the subset that
-Java and RE2 read the same way, which lets the DuckDB oracle reuse them verbatim.
+inside whole-stage code generation.
 """
 
 from __future__ import annotations
 
 import functools
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,14 +59,11 @@ def clean_drop_jvm() -> str:
     return base + _ranges(sorted({ord(ch) for ch in rest})) + "]"
 
 
-# Named character references decoded natively, in the order applied
-# ("&amp;" goes last so that "&amp;lt;" becomes "&lt;", as a single decoding pass does).
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
-]
+@functools.lru_cache(maxsize=1)
+def _named_refs() -> str:
+    """The public table of named character references (``name;`` and the legacy ``name``) as one
+    string for ``str_to_map``."""
+    return "\x02".join(f"{name}\x03{chars}" for name, chars in html5.items())
 
 
 def col_(c) -> Column:
@@ -100,40 +97,40 @@ def clean_text(c) -> Column:
     return F.trim(F.regexp_replace(collapse_ws(c), clean_drop_jvm(), ""))
 
 
-# Numeric character references (decimal or hex, with the semicolon).
-NUM_REF = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+# A character reference: numeric, or a name. Without its semicolon it counts only where no "="
+# or alphanumeric follows, so that a query string's "&copy=1" stays.
+CHAR_REF = (r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*)"
+            r"(?:;|(?![=;A-Za-z0-9]))")
 
 
 def _num_ref_char(r: Column) -> Column:
     """'&#233;' / '&#xE9;' → 'é'; a reference to an invalid or control code point is kept
     as written."""
-    digits = F.regexp_extract(r, r"^&#[xX]?([0-9a-fA-F]+);", 1)
-    n = F.when(r.rlike(r"^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    digits = F.regexp_extract(r, r"^&#[xX]?0*([0-9a-fA-F]{1,7});?\z", 1)
+    n = F.when(digits == "", F.lit(0)).when(
+        r.rlike(r"^&#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(
+        digits.try_cast("bigint"))
     valid = ((n >= 32) & (n != 127) & ~n.between(0x80, 0x9F) & ~n.between(0xD800, 0xDFFF)
              & (n <= 0x10FFFF))
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "utf-32")).otherwise(r)
 
 
-def decode_numeric_refs(c) -> Column:
-    """Numeric references decoded natively: the text is split at the references and the
-    pieces are zipped with the decoded references (no per-element re-evaluation)."""
-    x = col_(c)
-    pieces = F.split(x, NUM_REF)
-    refs = F.regexp_extract_all(x, F.lit(NUM_REF), 0)
-    joined = F.array_join(F.zip_with(pieces, refs, lambda p, r: F.concat(
-        F.coalesce(p, F.lit("")), F.coalesce(_num_ref_char(r), F.lit("")))), "")
-    return F.when(F.contains(x, F.lit("&#")), joined).otherwise(x)
+def _ref_char(r: Column) -> Column:
+    named = F.str_to_map(F.lit(_named_refs()), F.lit("\x02"), F.lit("\x03"))
+    return F.when(r.startswith("&#"), _num_ref_char(r)).otherwise(
+        F.coalesce(F.try_element_at(named, F.substring(r, 2, 64)), r))
 
 
 def decode_entities(c) -> Column:
-    """Named references from the fixed list, then numeric references, then &amp; (so an
-    escaped ampersand is never decoded twice)."""
-    out = col_(c)
-    for ent, ch in HTML_ENTITIES[:-1]:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = decode_numeric_refs(out)
-    ent, ch = HTML_ENTITIES[-1]
-    return F.replace(out, F.lit(ent), F.lit(ch))
+    """Character references decoded natively in one pass: the text is split at the references
+    and the pieces are zipped with the characters they name (no per-element re-evaluation; an
+    escaped ampersand is never decoded twice). Unknown names are kept as written."""
+    x = col_(c)
+    pieces = F.split(x, CHAR_REF)
+    refs = F.regexp_extract_all(x, F.lit(CHAR_REF), 0)
+    joined = F.array_join(F.zip_with(pieces, refs, lambda p, r: F.concat(
+        F.coalesce(p, F.lit("")), F.coalesce(_ref_char(r), F.lit("")))), "")
+    return F.when(F.contains(x, F.lit("&")), joined).otherwise(x)
 
 
 def strip_tags(c) -> Column:

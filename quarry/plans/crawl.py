@@ -8,15 +8,17 @@ checkpointed, so each level shuffles only the frontier. A level is one Spark job
     frontier ⋈ nodes → (start, url, depth, ok)            visited this level
     ok rows of unfinished crawls → explode(out_links) → distinct → anti-join visited
 
-The driver only reads whether the next frontier is empty. The frontier is cut from its lineage
+The driver only reads whether the next frontier is empty. Frontier rows carry the number of pages
+found so far for their start, so a crawl that has its ``max_pages`` expands no further level. The
+frontier is cut from its lineage
 with a reliable checkpoint (in the session's shared checkpoint folder) every level, the
-visited set and the per-start counts every ``checkpoint_every`` levels, so a lost executor
+visited set every ``checkpoint_every`` levels, so a lost executor
 recomputes at most that many levels and plans stay small.
 
 Semantics per start: pages missing from ``pages`` or without text are visited but not counted;
-the crawl of a start stops once ``max_pages`` successful pages are found. Within a level the
-reference's order comes from a set; here the kept pages are the first ``max_pages`` by (depth,
-url), which is deterministic. A crawl needs at most ``max_pages`` + 1 levels.
+the crawl of a start covers the whole host, or stops after the level in which ``max_pages``
+successful pages are reached. Within a level the reference's order comes from a set; here the
+kept pages are the first ``max_pages`` by (depth, url), which is deterministic.
 """
 
 from __future__ import annotations
@@ -27,10 +29,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.urls import url_ok
 from quarry.operators.web import crawlable_links, scrape
+from quarry.plans.ordered import SEQ, with_sequence
 from quarry.session import checkpoint_dir
 
-MAX_PAGES = 100
-
 
 def crawl_nodes(ok_pages: DataFrame, links: DataFrame, num_partitions: int) -> DataFrame:
     """(url, ok, out_links) for every ok page, partitioned by url."""
@@ -44,9 +45,10 @@ def crawl_nodes(ok_pages: DataFrame, links: DataFrame, num_partitions: int) -> D
 
 
 def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
-          max_pages: int = MAX_PAGES, max_levels: int | None = None,
+          max_pages: int | None = None, max_levels: int | None = None,
           ok_pages: DataFrame | None = None, checkpoint_every: int = 8) -> DataFrame:
-    """Return (start, url, depth, rank) for the successful pages of each crawl.
+    """Return (start, url, depth, rank) for the successful pages of each crawl: all of them, or
+    the first ``max_pages``.
 
     ``pages``: (url, html); ``links``: (src, dst); ``starts``: start URLs (DataFrame with a
     ``start`` column, or a list). ``ok_pages`` (url) may be given when the scrape is already
@@ -67,24 +69,30 @@ def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
     nodes = crawl_nodes(ok_pages, links, parts).checkpoint()
 
     frontier = starts.select("start", F.col("start").alias("url"),
-                             F.lit(0).cast("int").alias("depth"))
+                             F.lit(0).cast("int").alias("depth"), F.lit(0).alias("found"))
     visited = None
-    done = spark.createDataFrame([], "start string")
     held: list[DataFrame] = []
     level = 0
     while True:
         cur = (frontier.join(nodes, "url", "left")
-               .select("start", "url", "depth", F.coalesce("ok", F.lit(False)).alias("ok"),
-                       "out_links")
+               .select("start", "url", "depth", "found",
+                       F.coalesce("ok", F.lit(False)).alias("ok"), "out_links")
                .persist(StorageLevel.MEMORY_AND_DISK))
         seen = cur.select("start", "url", "depth", "ok")
         visited = seen if visited is None else visited.unionByName(seen)
         # groupBy on (start, url) rather than distinct on all columns: its output is already
         # partitioned for the anti-join with visited, which saves a shuffle per level.
-        nxt = (cur.filter("ok").join(done, "start", "left_anti")
-               .select("start", F.explode("out_links").alias("url"),
-                       (F.col("depth") + 1).alias("depth"))
-               .groupBy("start", "url").agg(F.min("depth").alias("depth"))
+        grown = cur.filter("ok")
+        if max_pages is not None:
+            counts = (grown.groupBy("start").agg(F.first("found").alias("before"),
+                                                 F.count(F.lit(1)).cast("int").alias("here"))
+                      .select("start", (F.col("before") + F.col("here")).alias("total"))
+                      .filter(F.col("total") < max_pages))
+            grown = grown.join(counts, "start").withColumn("found", F.col("total"))
+        nxt = (grown.select("start", F.explode("out_links").alias("url"),
+                            (F.col("depth") + 1).alias("depth"), "found")
+               .groupBy("start", "url").agg(F.min("depth").alias("depth"),
+                                            F.min("found").alias("found"))
                .join(visited.select("start", "url"), ["start", "url"], "left_anti"))
         level += 1
         # The frontier is checkpointed every level (persisted first so it is computed once):
@@ -95,19 +103,24 @@ def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame | list[str],
         held.append(cur)
         if level % checkpoint_every == 0:
             visited = visited.checkpoint()
-            # Crawls that reached max_pages stop expanding. Checked at checkpoints only: the
-            # few extra levels a finished crawl may run add deeper pages, which rank after
-            # the first max_pages anyway, so the result is the same.
-            done = (visited.filter("ok").groupBy("start").agg(F.count(F.lit(1)).alias("n"))
-                    .filter(F.col("n") >= max_pages).select("start").checkpoint())
             for df in held:
                 df.unpersist()
             held = []
         if nxt.isEmpty() or (max_levels is not None and level >= max_levels):
             break
         frontier = nxt
-    w = Window.partitionBy("start").orderBy("depth", "url")
-    result = (visited.filter("ok").withColumn("rank", F.row_number().over(w).cast("bigint"))
-              .filter(F.col("rank") <= max_pages)
-              .select("start", "url", F.col("depth").cast("bigint").alias("depth"), "rank"))
-    return result.checkpoint()
+    found = visited.filter("ok")
+    if max_pages is not None:
+        w = Window.partitionBy("start").orderBy("depth", "url")
+        result = found.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(
+            F.col("rank") <= max_pages)
+    else:       # a whole host may be large: ranks from a global order, not from one task
+        ordered = with_sequence(found, ["start", "depth", "url"])
+        first = ordered.groupBy("start").agg(F.min(SEQ).alias("_first"))
+        result = ordered.join(first, "start").withColumn(
+            "rank", (F.col(SEQ) - F.col("_first") + 1).cast("bigint"))
+    result = result.select("start", "url", F.col("depth").cast("bigint").alias("depth"),
+                           "rank").checkpoint()
+    for df in held:
+        df.unpersist()
+    return result

@@ -52,9 +52,10 @@ def ingest_files(files: DataFrame, now=None, extractors: dict[str, Callable] | N
     return rows, rejected.unionByName(failed).unionByName(broken)
 
 
-def ingest_site(pages: DataFrame, links: DataFrame, starts, now=None, max_pages: int = 100,
-                embedder=None, index_path: str | None = None) -> DataFrame:
-    """Crawl every start inside its host and index the successful pages."""
+def ingest_site(pages: DataFrame, links: DataFrame, starts, now=None,
+                max_pages: int | None = None, embedder=None, index_path: str | None = None) -> DataFrame:
+    """Crawl every start inside its host and index the successful pages (the first
+    ``max_pages`` of each start, if given)."""
     scraped = scrape(pages, now=now)
     kept = crawl(pages, links, starts, max_pages=max_pages, ok_pages=scraped.select("url"))
     pages_in = scraped.join(kept.select(F.col("url")).distinct(), "url", "left_semi")

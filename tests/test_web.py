@@ -141,6 +141,21 @@ def test_w15_cycle_dead_link_and_cap(spark):
     assert sorted(r.url for r in two) == ["http://h/a", "http://h/b"]
 
 
+def test_w15_stops_level_by_level(spark):
+    body = f"<p>{LONG}</p>"
+    urls = [f"http://h/{i:04d}" for i in range(1, 256)]
+    pages = _pages(spark, [(u, body) for u in urls])
+    links = spark.createDataFrame(
+        [(f"http://h/{i:04d}", f"http://h/{j:04d}") for i in range(1, 256)
+         for j in (2 * i, 2 * i + 1)], "src string, dst string")
+    got = crawl(pages, links, [urls[0]], max_pages=5).orderBy("rank").collect()
+    assert [(r.url, r.rank) for r in got] == [(u, i + 1) for i, u in enumerate(urls[:5])]
+    whole = crawl(pages, links, [urls[0], urls[2]]).collect()
+    assert sorted((r.url, r.rank) for r in whole if r.start == urls[0]) == [
+        (u, i + 1) for i, u in enumerate(urls)]
+    assert sorted(r.rank for r in whole if r.start == urls[2]) == list(range(1, 128))
+
+
 def test_w15_invalid_start(spark):
     import pytest
     pages = _pages(spark, [("http://h/a", "<p>x</p>")])
