@@ -111,6 +111,25 @@ class Encoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
+        self.again = np.zeros(1 << 12, bool)
+
+    def _shrink(self) -> None:
+        """Forget the words that were not met again since the last time (most are met once), so
+        that the common ones aren't encoded anew; three quarters of the bound stay at most."""
+        keep = np.flatnonzero(self.again[:len(self.words)])[:self.max_words * 3 // 4]
+        names = list(self.words)
+        lens, starts, flat = self.lens[keep], self.starts[keep], self.flat
+        self._reset()
+        for i in keep.tolist():
+            self.words[names[i]] = len(self.words)
+        n, ends = len(keep), np.cumsum(lens)
+        total = int(ends[-1]) if n else 0
+        for name, need in (("lens", n), ("starts", n), ("again", n), ("flat", total)):
+            if len(getattr(self, name)) < need:
+                setattr(self, name, np.zeros(need, getattr(self, name).dtype))
+        self.lens[:n], self.starts[:n] = lens, ends - lens
+        self.flat[:total] = flat[np.repeat(starts - ends + lens, lens) + np.arange(total)]
+        self.used = total
 
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -140,7 +159,8 @@ class Encoder:
             ids[i] = np.array(x, np.uint32)
         n, lens = len(self.words), np.array([len(x) for x in ids], np.int64)
         total = int(lens.sum())
-        for name, need in (("lens", n), ("starts", n), ("flat", self.used + total)):
+        for name, need in (("lens", n), ("starts", n), ("again", n),
+                           ("flat", self.used + total)):
             a = getattr(self, name)
             if len(a) < need:
                 setattr(self, name, np.concatenate((a, np.zeros(max(len(a), need - len(a)),
@@ -160,11 +180,12 @@ class Encoder:
         for at in range(0, len(texts), 128):
             some = [(t or "").replace("\n", " ").split(" ") for t in texts[at:at + 128]]
             if len(self.words) > self.max_words:
-                self._reset()
-            get = self.words.__getitem__
+                self._shrink()
+            get, known = self.words.__getitem__, len(self.words)
             numbers = [np.fromiter(map(get, s), np.int64, len(s)) for s in some]
             self._learn()
             for k in numbers:
+                self.again[k[k < known]] = True
                 n = self.lens[k]
                 ends = np.cumsum(n)
                 if not len(ends) or not ends[-1]:

@@ -464,3 +464,18 @@ def test_token_counts_carry_on(spark, docs, empty):
     for r in later:
         assert r.n_tokens_after == full(r.text) and r.n_edits == 2
     assert tokencount.apply_edits(tokencount.with_cleaning_edits(empty), BYTES).count() == 0
+
+
+def test_word_cache_that_forgets_gives_the_same_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.zipf(1.3, 40) % 5000) for _ in range(1500)]
+    texts += ["", None, " \n ", "w1"]
+    small, whole = tokenfile.Encoder(path, max_words=2000), tokenfile.Encoder(path)
+    shrunk = []
+    forget = small._shrink
+    small._shrink = lambda: (forget(), shrunk.append(len(small.words)))
+    for text, a, b in zip(texts, small.encode(texts), whole.encode(texts)):
+        want = whole.tok.encode(text or "", add_special_tokens=False).ids
+        assert a.tolist() == want and b.tolist() == want
+    assert any(0 < n <= 1500 for n in shrunk)
