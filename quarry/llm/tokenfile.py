@@ -21,6 +21,7 @@ packing and writing in one narrow pass. Offsets between parts are sums of one ro
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,10 @@ from pyspark.sql import functions as F
 BLOCK_IDS = 1 << 16
 MAX_WORDS = 400_000         # entries of a worker's word cache, about 90 MB
 _MARK = "\x01"
+# Latin letters (composed ones; a combining mark could join its neighbour, and the lower case of
+# U+0130 ends in one) and ASCII punctuation.
+_TAILED = re.compile(
+    r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u02AF]*)([!-/:-@\[-`{-~]*)")
 
 
 # ------------------------------------------------------------------ packing
@@ -88,7 +93,9 @@ class Encoder:
 
     Only for a tokenizer that drops white space, as checked when it is loaded: the ids of a text
     are then those of its space-separated pieces, one after the other. Any other tokenizer
-    encodes whole texts."""
+    encodes whole texts. If it also parts letters from the punctuation after them and ignores the
+    case of A-Z, a new word is put together from its letters in lower case and its tail, which
+    are mostly known."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -100,6 +107,11 @@ class Encoder:
         one = lambda s: self.tok.encode(s, add_special_tokens=False).ids
         self.by_word = (one("ab cd") == one("ab") + one("cd") and one(" ab\n") == one("ab")
                         and one("á ́b") == one("á") + one("́b"))
+        apart = self.by_word and not any(
+            _TAILED.fullmatch(t.content) for t in self.tok.get_added_tokens_decoder().values())
+        self.by_tail = apart and all(
+            one(w + t) == one(w) + one(t) for w in ("ab", "né") for t in (",", ".'", "'", ",%%"))
+        self.caseless = apart and one("ABxY") == one("abxy") and one("Z") == one("z")
         mark = one(_MARK)
         self.mark = mark[0] if len(mark) == 1 and one(f"ab {_MARK} cd") == one("ab") + mark + one(
             "cd") else None
@@ -134,16 +146,67 @@ class Encoder:
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _room(self, n: int, total: int) -> None:
+        for name, need in (("lens", n), ("starts", n), ("again", n), ("flat", total)):
+            a = getattr(self, name)
+            if len(a) < need:
+                setattr(self, name, np.concatenate((a, np.zeros(max(len(a), need - len(a)),
+                                                                a.dtype))))
+
+    def _store(self, numbers: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Set the ids of the words with these numbers; ``ids`` holds them one after the other."""
+        self._room(len(self.words), self.used + len(ids))
+        self.lens[numbers] = lens
+        self.starts[numbers] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these words, one after the other."""
+        n = self.lens[numbers]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.uint32)
+        return self.flat[np.repeat(self.starts[numbers] - ends + n, n) + np.arange(ends[-1])]
+
+    def _parts(self, word: str) -> tuple[str, str] | None:
+        """Letters and tail of a word that isn't either alone, else None."""
+        found = _TAILED.fullmatch(word)
+        if found is None or not found[1] or (found[2] and not self.by_tail):
+            return None
+        stem = found[1].lower() if self.caseless and word.isascii() else found[1]
+        return None if stem == word else (stem, found[2])
+
     def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        if not new:
+        if not self.words.new:
             return
-        first = len(self.words) - len(new)
+        first, made, parts = len(self.words) - len(self.words.new), [], []
+        number, split = self.words.__getitem__, self._parts
+        for n, w in enumerate(list(self.words.new), first):
+            two = split(w)
+            if two is not None:         # its parts, if new, follow the words of the texts
+                made.append(n)
+                parts += (number(two[0]), number(two[1]))
+        new, self.words.new = self.words.new, []
+        whole = np.ones(len(new), bool)
+        whole[np.array(made, np.int64) - first] = False
+        simple = np.flatnonzero(whole)
+        lens, ids = self._encoded([new[i] for i in simple.tolist()])
+        self._store(simple + first, lens, ids)
+        if made:
+            parts = np.array(parts, np.int64)
+            known = parts[parts < first]
+            self.again[known] = True
+            lens = self.lens[parts].reshape(-1, 2).sum(axis=1)
+            self._store(np.array(made, np.int64), lens, self._gather(parts))
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all."""
         ids: list = [None] * len(new)
         plain = [i for i, w in enumerate(new) if self.mark is not None and _MARK not in w]
         for at in range(0, len(plain), 2000):
             some = plain[at:at + 2000]
-            got = np.array(self._encode_all([f" {_MARK} ".join(new[i] for i in some)])[0],
+            got = np.array(self._encode_all([f" {_MARK} ".join([new[i] for i in some])])[0],
                            np.uint32)
             cut = np.flatnonzero(got == self.mark)
             if len(cut) != len(some) - 1:       # a word holds the mark's id: one by one
@@ -152,24 +215,13 @@ class Encoder:
                 continue
             a = np.concatenate(([0], cut + 1))
             b = np.concatenate((cut, [len(got)]))
-            for i, x, y in zip(some, a, b):
+            for i, x, y in zip(some, a.tolist(), b.tolist()):
                 ids[i] = got[x:y]
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self._encode_all([new[i] for i in rest]) if rest else []):
             ids[i] = np.array(x, np.uint32)
-        n, lens = len(self.words), np.array([len(x) for x in ids], np.int64)
-        total = int(lens.sum())
-        for name, need in (("lens", n), ("starts", n), ("again", n),
-                           ("flat", self.used + total)):
-            a = getattr(self, name)
-            if len(a) < need:
-                setattr(self, name, np.concatenate((a, np.zeros(max(len(a), need - len(a)),
-                                                                a.dtype))))
-        self.lens[first:n] = lens
-        self.starts[first:n] = self.used + np.cumsum(lens) - lens
-        if total:
-            self.flat[self.used:self.used + total] = np.concatenate(ids)
-        self.used += total
+        return (np.array([len(x) for x in ids], np.int64),
+                np.concatenate(ids) if ids else np.zeros(0, np.uint32))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -186,12 +238,7 @@ class Encoder:
             self._learn()
             for k in numbers:
                 self.again[k[k < known]] = True
-                n = self.lens[k]
-                ends = np.cumsum(n)
-                if not len(ends) or not ends[-1]:
-                    yield np.zeros(0, np.uint32)
-                    continue
-                yield self.flat[np.repeat(self.starts[k] - ends + n, n) + np.arange(ends[-1])]
+                yield self._gather(k)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -479,3 +479,18 @@ def test_word_cache_that_forgets_gives_the_same_ids():
         want = whole.tok.encode(text or "", add_special_tokens=False).ids
         assert a.tolist() == want and b.tolist() == want
     assert any(0 < n <= 1500 for n in shrunk)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_put_together_encode_as_the_library_does(name):
+    path = public_tokenizers.path(name)
+    tok, r = Tokenizer.from_file(path), random.Random(11)
+    stems = ["Thing", "ONE", "l'été", "naïve", "e\u0301te", "cafe", "İstanbul", "ΣΑΣ", "ß", "don't",
+             "ab12", "日本", "a\u00d7b", "<|endoftext|>", "<|ENDOFTEXT|>", "\u01c5x", ""]
+    tails = ["", ",", ".", "...", ",%%%", "'", "'s", "'S", "\u0301", "\u0301,", "!?", "\u00bb", "-", "</w>",
+             "\x01", "\u200d.", "_"]
+    words = [a + b for a in stems for b in tails]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(300)] + words
+    enc = tokenfile.Encoder(path, max_words=100)
+    for t, x in zip(texts, enc.encode(texts)):
+        assert x.tolist() == tok.encode(t, add_special_tokens=False).ids, t
