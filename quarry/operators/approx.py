@@ -69,6 +69,14 @@ def _ivf_kernel(bc, qkeys, ids, vec, k):
     return run
 
 
+def _nearest_cells(qmat: np.ndarray, centroids: np.ndarray, n_probe: int) -> np.ndarray:
+    """The ``n_probe`` nearest cells of each query; 4 million distances are held at once."""
+    cn, step = (centroids ** 2).sum(1), max(1, 4_000_000 // len(centroids))
+    return np.concatenate([
+        np.argsort(cn - 2.0 * (qmat[i:i + step] @ centroids.T), axis=1)[:, :n_probe]
+        for i in range(0, len(qmat), step)])
+
+
 def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int = 5,
                   n_probe: int = 4, qkeys: list[str] | str = "qid",
                   ids: list[str] | None = None, vec: str = "embedding") -> DataFrame:
@@ -92,8 +100,7 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
         if pdf.empty:
             continue
         qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        cd = ((qmat[:, None, :] - centroids[None, :, :]) ** 2).sum(-1)
-        near = np.argsort(cd, axis=1)[:, :max(1, min(n_probe, len(centroids)))]
+        near = _nearest_cells(qmat, centroids, max(1, min(n_probe, len(centroids))))
         probes: dict[int, list[int]] = {}
         for qi, cells in enumerate(near):
             for c in cells:

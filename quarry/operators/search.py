@@ -15,6 +15,7 @@ Distances are rounded to 6 digits before ranking so float noise cannot reorder r
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 MAX_BROADCAST_WINNERS = 2_000_000
 _PAIR_BUDGET = 4_000_000  # query × chunk distances held at once by one kernel call
+_QUERY_SLICE = 2_000      # queries scored together, so that slices of chunks stay long
 
 
 def _round6(d: np.ndarray) -> np.ndarray:
@@ -38,30 +40,33 @@ def _topk_kernel(bc, qkeys: list[str], ids: list[str], vec: str, k: int):
         qframe, qmat = bc.value
         nq = qmat.shape[0]
         qn = np.einsum("ij,ij->i", qmat, qmat)
-        best = None
+        best: dict[int, pd.DataFrame] = {}
+        step = max(1, _PAIR_BUDGET // min(max(nq, 1), _QUERY_SLICE))
         for pdf in batches:
             pdf = pdf[pdf[vec].notna()]
             if pdf.empty or nq == 0:
                 continue
             cmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            step = max(1, _PAIR_BUDGET // max(nq, 1))
-            for lo in range(0, len(pdf), step):
-                c = cmat[lo:lo + step]
-                d = qn[:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (qmat @ c.T)
+            for q0, lo in itertools.product(range(0, nq, _QUERY_SLICE),
+                                            range(0, len(pdf), step)):
+                c, q = cmat[lo:lo + step], slice(q0, q0 + _QUERY_SLICE)
+                d = (qn[q, None] + np.einsum("ij,ij->i", c, c)[None, :]
+                     - 2.0 * (qmat[q] @ c.T))
                 np.maximum(d, 0.0, out=d)
                 d6 = _round6(d)
                 kk = min(k, d6.shape[1])
                 thr = np.partition(d6, kk - 1, axis=1)[:, kk - 1]
                 qi, ci = np.nonzero(d6 <= thr[:, None])  # every tie at the k-th value stays
-                cand = pd.DataFrame({"_q": qi, "_d6": d6[qi, ci], "_d": d[qi, ci]})
+                cand = pd.DataFrame({"_q": qi + q0, "_d6": d6[qi, ci], "_d": d[qi, ci]})
                 part = pdf.iloc[lo:lo + step]
                 for col in ids:
                     cand[col] = part[col].to_numpy()[ci]
-                best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-                best = (best.sort_values(["_q", "_d6", *ids], kind="mergesort")
-                        .groupby("_q", sort=False).head(k))
-        if best is not None and len(best):
-            out = best.reset_index(drop=True)
+                if q0 in best:
+                    cand = pd.concat([best[q0], cand], ignore_index=True)
+                best[q0] = (cand.sort_values(["_q", "_d6", *ids], kind="mergesort")
+                            .groupby("_q", sort=False).head(k))
+        for out in best.values():
+            out = out.reset_index(drop=True)
             for col in qkeys:
                 out[col] = qframe[col].to_numpy()[out["_q"].to_numpy()]
             yield out[[*qkeys, *ids, "_d"]].rename(columns={"_d": "distance"})
@@ -109,7 +114,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, qkeys: list[str] |
     for p in partials[1:]:
         part = part.unionByName(p)
     d6 = F.round("distance", 6)
-    w = Window.partitionBy(*qkeys).orderBy(d6, *ids)
+    # Ranked by the kernel's own rounding, so that both keep the same rows at a tie.
+    w = Window.partitionBy(*qkeys).orderBy(F.floor(F.col("distance") * 1e6 + 0.5), *ids)
     top = (part.withColumn("rank", F.row_number().over(w).cast("bigint"))
            .filter(F.col("rank") <= k).withColumn("_raw", F.col("distance"))
            .withColumn("distance", d6))

@@ -22,8 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcasts are chosen explicitly behind a size check (see quarry.plans.sizing);
-    # the automatic threshold stays at Spark's default for statistics-based choices.
+    # Broadcasts are chosen explicitly behind a size check; the automatic threshold stays at Spark's default for statistics-based choices.
 }
 
 

@@ -46,3 +46,24 @@ def test_ask_flow(spark):
     out = {r.qid: r for r in ask(q, index, model, ExtractiveClient()).collect()}
     assert out[2].error == "Query cannot be empty" and out[2].answer is None
     assert out[1].context and (out[1].answer or out[1].error)
+
+
+def test_ask_asks_once_and_keeps_rewording_errors(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.write_text("")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write("x\n")
+        if len(open(log).readlines()) <= 3:     # the rewording and its retries
+            raise ValueError("no rewording")
+        return "an answer"
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    chunks = chunk_words(docs)
+    model = fit_embedder(chunks, "page_content", 64)
+    index = embed(chunks, model, text="page_content").withColumn("filename", F.lit("f"))
+    q = spark.createDataFrame([(1, "what is this")], "qid int, question string")
+    row, = ask(q, index, model, client).collect()
+    assert row.answer == "an answer" and "no rewording" in row.error
+    assert len(log.read_text().split()) == 4
