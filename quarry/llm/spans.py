@@ -1,10 +1,13 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-A text's sentences end at a newline or at ``.``, ``!`` or ``?`` before white space. Its runs start
-at every sentence and take the fewest following sentences that reach ``min_sentences`` sentences
-and ``min_words`` words (a single sentence of ``long_words`` words is a run by itself). A run is
-known by a 96-bit hash of its words, A-Z lower-cased, so layout and punctuation don't matter.
-Equal passages hold equal runs wherever they stand, and every run of a passage lies inside it.
+A text's sentences end at a newline or at ``.``, ``!`` or ``?`` before white space. A run is any
+number of consecutive sentences of at least ``min_sentences`` sentences and ``min_words`` words, or
+a single sentence of ``long_words`` words. Two runs per sentence stand for all of them: the shortest
+one that starts at it and the shortest one that ends with it. A sentence of a longer run is in the
+first kind, or too little follows it in the run; then the second kind at the run's end holds it. A
+run is known by a 96-bit hash of its words, A-Z lower-cased, so layout and punctuation don't matter.
+Equal passages (the same words in the same sentences) hold equal runs wherever they stand, and every
+run of a passage lies inside it.
 
 Plan: one narrow pass writes the runs; a grouped minimum (partial aggregation, so a run that a
 third of all documents share is one row per task) finds each repeated run's first place; the runs
@@ -52,13 +55,22 @@ def sentences(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def runs(h: np.ndarray, first: np.ndarray, min_sentences: int = MIN_SENTENCES,
          min_words: int = MIN_WORDS, long_words: int = LONG_WORDS):
-    """(start sentence, end sentence exclusive, 64-bit and 32-bit hash) of every run."""
+    """(start sentence, end sentence exclusive, 64-bit and 32-bit hash) of the shortest run from
+    every start and the shortest one to every end."""
     n = len(first) - 1
     i = np.arange(n)
     j = np.maximum(np.searchsorted(first, first[:-1] + min_words), i + min_sentences)
     j = np.where(np.diff(first) >= long_words, i + 1, j)
     ok = j <= n
     i, j = i[ok], j[ok]
+    end = np.arange(1, n + 1)
+    back = np.minimum(np.searchsorted(first, first[1:] - min_words, side="right") - 1,
+                      end - min_sentences)
+    # The same run only once: a start has one end of the first kind.
+    ahead = np.full(n + 1, -1)
+    ahead[i] = j
+    ok = (back >= 0) & (ahead[back] != end)
+    i, j = np.concatenate((i, back[ok])), np.concatenate((j, end[ok]))
     q = np.full(len(h) + 1, _Q, np.uint64)
     q[0] = 1
     q = np.multiply.accumulate(q)
@@ -138,7 +150,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     firsts = stored(firsts, "spans-firsts")
     later = (found.join(firsts, ["h", "g"]).filter(place != F.col("lo"))
              .select("doc_id", "t", "i", "j"))
-    # At most one entry per sentence of the document.
+    # At most two entries per sentence of the document.
     covers = later.groupBy("doc_id", "t").agg(
         F.collect_set(F.struct("i", "j")).alias("cover")).withColumnsRenamed(
         {"doc_id": "c_id", "t": "c_t"})

@@ -329,6 +329,39 @@ def test_spans(spark, empty):
 # ------------------------------------------------------------------ 8
 
 
+def all_runs(texts, min_sentences=2, min_words=24, long_words=50):
+    """Covered sentences by brute force over every run, not only the shortest ones."""
+    cut = [[re.findall(r"\w+", x) for x in t.split("\n")] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for d, parts in enumerate(cut):
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                k = sum(map(len, parts[i:j]))
+                if (j - i >= min_sentences and k >= min_words) or (j == i + 1
+                                                                   and k >= long_words):
+                    run = tuple(tuple(x) for x in parts[i:j])
+                    if run in seen:
+                        gone[d].update(range(i, j))
+                    seen.add(run)
+    return [sorted(g) for g in gone]
+
+
+def test_spans_cover_what_any_longer_run_covers(spark):
+    r = random.Random(8)
+    sentence = lambda k: " ".join("w%d" % r.randrange(10**6) for _ in range(k))
+    texts = []
+    for lengths in ([12, 15, 10, 8], [60, 5], [5, 60], [30, 3], [3, 30, 2, 2], [49, 1, 1],
+                    [8, 8, 8], [23, 1], [70, 20], [20, 70], [1, 55, 1, 55, 1],
+                    *([r.choice([1, 2, 5, 8, 12, 23, 30, 55]) for _ in range(r.randint(2, 9))]
+                      for _ in range(20))):
+        passage = [sentence(k) for k in lengths]
+        texts += ["\n".join([sentence(9), *passage, sentence(7)]) for _ in range(2)]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x for x in spans.dedup_spans(df).collect()}
+    assert [got[d].removed for d in range(len(texts))] == all_runs(texts)
+    assert got[1].removed == [1, 2, 3, 4] and got[3].removed == [1, 2]
+
+
 def test_mixing(spark, docs, empty):
     rows = corpus()
     got = mixing.taken(docs.withColumn("size", F.lit("x")).withColumn("place", F.lit(1))).collect()
