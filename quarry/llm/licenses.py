@@ -1,7 +1,9 @@
 """Operator 3: license scans by an exact set-similarity join of text blocks with templates.
 
-A block is a line or, in longer lines, a sentence. A block meets a template if it holds at least
-``THRESHOLD`` of the template's distinct tokens. Candidates come from the usual filters:
+A block is a line or, in longer lines, a sentence; a sentence that goes over several lines (up to
+a blank line) is a block besides its lines, for templates of which it holds more than each of them.
+A block meets a template if it holds at least ``THRESHOLD`` of the template's distinct tokens.
+Candidates come from the usual filters:
 
 * order: template tokens by their document frequency over the whole corpus (first pass), rarest
   first;
@@ -52,6 +54,7 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 _END = regex.compile(rb"\n|[.!?]+(?=\s)")
+_END_WIDE = regex.compile(rb"\n[^\S\n]*(?=\n)|[.!?]+(?=\s)")
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -106,29 +109,71 @@ class Scanner:
         return found
 
     def blocks(self, raw: bytes, starts: np.ndarray, ids: np.ndarray):
-        """(template number, overlap / template size, first word, end word) of every match."""
-        if not self.is_prefix[ids].any():
+        """(template number, its tokens in the block, first word, end word, first and end word of
+        the sentence over all its lines) of every match."""
+        prefix = self.is_prefix[ids]
+        if not prefix.any():
             return
-        ends = np.fromiter((m.end() for m in _END.finditer(raw)), np.int64)
-        number = np.searchsorted(ends, starts, side="right")
-        for b in np.unique(number[self.is_prefix[ids]]):
-            lo, hi = np.searchsorted(number, b), np.searchsorted(number, b, side="right")
-            have = np.unique(ids[lo:hi])
-            have = have[have < len(self.vocab)].tolist()
-            tried = set()
-            for i, token in enumerate(have):
-                for t, place in self.index.get(token, ()):
-                    if t in tried:
-                        continue
-                    tried.add(t)
-                    tokens, as_set, need, _ = self.templates[t]
-                    # Length, then position: this is the first common token of both lists.
-                    if len(have) < need or 1 + min(len(have) - i - 1,
-                                                   len(tokens) - place - 1) < need:
-                        continue
-                    both = sum(x in as_set for x in have)
-                    if both >= need:
-                        yield t, both / len(tokens), int(lo), int(hi)
+        line, wide = (np.searchsorted(np.fromiter((m.end() for m in end.finditer(raw)), np.int64),
+                                      starts, side="right") for end in (_END, _END_WIDE))
+        for w in np.unique(wide[prefix]):
+            first, last = np.searchsorted(wide, w), np.searchsorted(wide, w, side="right")
+            inside, most = line[first:last], {}
+            for b in np.unique(inside[prefix[first:last]]):
+                lo = first + np.searchsorted(inside, b)
+                hi = first + np.searchsorted(inside, b, side="right")
+                for t, both in self.met(ids[lo:hi]):
+                    most[t] = max(most.get(t, 0), len(both))
+                    yield t, both, int(lo), int(hi), int(first), int(last)
+            if inside[0] != inside[-1]:
+                for t, both in self.met(ids[first:last]):
+                    if len(both) > most.get(t, 0):
+                        yield t, both, int(first), int(last), int(first), int(last)
+
+    def met(self, ids: np.ndarray):
+        """(template number, its tokens in the block and how often they stand there) of every
+        template that the block meets."""
+        have, times = np.unique(ids[ids < len(self.vocab)], return_counts=True)
+        count, have, tried = dict(zip(have.tolist(), times.tolist())), have.tolist(), set()
+        for i, token in enumerate(have):
+            for t, place in self.index.get(token, ()):
+                if t in tried:
+                    continue
+                tried.add(t)
+                tokens, as_set, need, _ = self.templates[t]
+                # Length, then position: this is the first common token of both lists.
+                if len(have) < need or 1 + min(len(have) - i - 1,
+                                               len(tokens) - place - 1) < need:
+                    continue
+                both = {x: count[x] for x in have if x in as_set}
+                if len(both) >= need:
+                    yield t, both
+
+
+def _labels(found: list[tuple]) -> list[str]:
+    """Labels of the matches (share, template size, label, tokens, need, span, span over all lines)
+    but those that better ones of the block explain, or, for a part of a template, better ones of
+    the sentence over all its lines or of these lines. They explain a match that isn't met by the
+    words that they leave (each takes each of its tokens once), unless the match is a whole
+    template with a token that none of them has."""
+    kept: dict[tuple, list[tuple]] = {}
+    inner: dict[tuple, list[tuple]] = {}        # of all lines of a sentence
+
+    def explained(m: tuple, others: list[tuple]) -> bool:
+        better = [o[3] for o in others if o[:3] > m[:3]]
+        return bool(better) and (m[0] < 1 or any(m[3].keys() <= o.keys() for o in better)) and sum(
+            n > sum(x in o for o in better) for x, n in m[3].items()) < m[4]
+
+    for m in sorted(found, key=lambda m: m[:3], reverse=True):
+        span, wide = m[5:]
+        if explained(m, kept.get(span, [])):
+            continue
+        if m[0] < 1 and explained(m, (inner if span == wide else kept).get(wide, [])):
+            continue
+        kept.setdefault(span, []).append(m)
+        if span != wide:
+            inner.setdefault(wide, []).append(m)
+    return [m[2] for ms in kept.values() for m in ms]
 
 
 def _frequency(scanner: Scanner):
@@ -153,14 +198,17 @@ def _scan(scanner: Scanner):
                 h, s, _ = words(raw, ALNUM)
                 base = scanner.places(h)
                 labels, spans, best = {x for _, x in base}, [], 1.0 if base else 0.0
-                top: dict[int, tuple] = {}
+                found = []
                 if len(h):
-                    for t, share, lo, hi in scanner.blocks(raw, s, scanner.token_ids(h)):
-                        tokens, _, _, label = scanner.templates[t]
-                        top[lo] = max(top.get(lo, (0.0, 0, "")), (share, len(tokens), label))
+                    for t, both, lo, hi, first, last in scanner.blocks(raw, s,
+                                                                       scanner.token_ids(h)):
+                        tokens, _, need, label = scanner.templates[t]
+                        share = len(both) / len(tokens)
+                        found.append((share, len(tokens), label, both, need, (lo, hi),
+                                      (first, last)))
                         best = max(best, share)
                         spans.append({"label": label, "start": lo, "end": hi, "share": share})
-                labels.update(label for _, _, label in top.values())
+                labels.update(_labels(found))
                 at = [i for i, _ in base]
                 row = (len(h), len(at), min(at, default=None), max(at, default=None),
                        ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best,
@@ -182,9 +230,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES,
                   ) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): doc_id, n_words, n_base (places of
     base phrases), first_word, last_word (smallest and largest start; null without one),
-    base_labels, labels (base labels and each block's best template: the largest containment, then
-    the longest template; sorted), score (1 with a base phrase, else the
-    best template containment, 0 without a match), blocks (the matching blocks: label, word span,
+    base_labels, labels (base labels and each block's templates but those that a better one, of
+    larger containment, then longer, explains by the same words; sorted), score (1 with a base
+    phrase, else the best template containment, 0 without a match), blocks (the matching blocks: label, word span,
     containment).
 
     Null and empty texts have no words and no labels. Equal rows get equal results. Other columns

@@ -228,6 +228,37 @@ def test_license_scan(spark):
     assert "cc-by-nc-4.0" in got[4].labels and "reserved" in got[4].labels
 
 
+def test_license_notices_over_lines_and_side_by_side(spark):
+    want = {
+        "Redistribution and use in source and binary forms, with or without\nmodification, are "
+        "permitted provided that": {"bsd-grant"},
+        "# Redistribution and use in\r\n# source and binary forms,\n# with or without\n"
+        "# modification, are permitted": {"bsd-grant"},
+        "Permission is hereby granted, free of\ncharge, to any person obtaining\na copy":
+            {"mit-grant"},
+        "Redistribution and use in source and binary forms, with or without\n \nmodification, are "
+        "permitted": set(),
+        "Redistribution and use in source and binary forms, with or without.\nmodification, are "
+        "permitted": set(),
+        "All rights reserved, released under the MIT License": {"mit", "mit-notice", "reserved"},
+        "All rights reserved\nReleased under the\nMIT License": {"mit", "mit-notice", "reserved"},
+        "Licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc-4.0"},
+        "Licensed under CC BY 4.0": {"cc-by", "cc-by-4.0"},
+        "Licensed under CC BY-\nSA 4.0": {"cc-by", "cc-by-sa-4.0"},
+        "Licensed under CC BY 4\nNC 0": {"cc-by", "cc-by-nc-4.0"},
+        "Licensed under CC BY-NC 4.0, some files licensed under CC BY 4.0":
+            {"cc-by", "cc-by-nc-4.0", "cc-by-4.0"},
+        "Licensed under the Apache License, Version 2.0, or under the MIT License":
+            {"apache", "apache-2.0", "mit", "mit-notice"},
+        "komm mit\nLicensed under the Apache License, Version 2.0\n" * 2: {"apache", "apache-2.0"},
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, labels in enumerate(want.values()):
+        assert got[i].labels == ",".join(sorted(labels)), i
+        assert got[i].score == (1.0 if labels else 0.0), i
+
+
 # ------------------------------------------------------------------ 4, 5
 
 
