@@ -1,10 +1,13 @@
 """Approximate nearest neighbours with an inverted-file (IVF) index.
 
 Cells come from Spark ML k-means on the chunk vectors (distributed training). Each query is
-sent only to its ``n_probe`` nearest cells: the query block (size-checked, broadcast) carries
-its probe list, and the chunk kernel scores a batch's rows only against the queries that
-probe their cell, so work drops by about ``n_cells / n_probe``. The result is approximate by
-design (the feature); ``recall_at_k`` measures it against the exact search.
+sent only to its nearest cells: the query block (size-checked, broadcast) carries its probe
+list, and the chunk kernel scores a batch's rows only against the queries that probe their cell.
+How many cells are probed follows from the index: an exact search of a sample of the queries
+shows how far down their lists of cells the true neighbours lie, and the least number of cells
+that holds the wanted share of them is taken (``n_probe`` at least). A query whose cells hold
+fewer than ``k`` chunks goes on to further ones. The result is approximate by design (the
+feature); ``recall_at_k`` measures it against the exact search.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.search import _round6
+from quarry.operators.search import _round6, search
+
+RECALL = 0.9
+_SAMPLE = 256             # queries searched exactly to choose the number of cells
 
 
 def build_ivf(chunks: DataFrame, vec: str = "embedding", n_cells: int | None = None,
@@ -69,19 +75,56 @@ def _ivf_kernel(bc, qkeys, ids, vec, k):
     return run
 
 
-def _nearest_cells(qmat: np.ndarray, centroids: np.ndarray, n_probe: int) -> np.ndarray:
-    """The ``n_probe`` nearest cells of each query; 4 million distances are held at once."""
+def _cell_order(qmat: np.ndarray, centroids: np.ndarray) -> Iterator[np.ndarray]:
+    """All cells from near to far, a row per query; 4 million distances are held at once."""
     cn, step = (centroids ** 2).sum(1), max(1, 4_000_000 // len(centroids))
-    return np.concatenate([
-        np.argsort(cn - 2.0 * (qmat[i:i + step] @ centroids.T), axis=1)[:, :n_probe]
-        for i in range(0, len(qmat), step)])
+    for i in range(0, len(qmat), step):
+        yield np.argsort(cn - 2.0 * (qmat[i:i + step] @ centroids.T), axis=1, kind="stable")
+
+
+def _nearest_cells(qmat: np.ndarray, centroids: np.ndarray, n_probe: int, sizes: np.ndarray,
+                   k: int) -> Iterator[np.ndarray]:
+    """The ``n_probe`` nearest cells of each query, and further ones until they hold ``k`` rows."""
+    for order in _cell_order(qmat, centroids):
+        enough = (np.cumsum(sizes[order], axis=1) < k).sum(1) + 1
+        for cells, n in zip(order, np.maximum(enough, n_probe)):
+            yield cells[:n]
+
+
+def measured_probes(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int,
+                    recall: float, qkeys: list[str], ids: list[str], vec: str) -> int:
+    """The least number of nearest cells that holds a share ``recall`` of the true neighbours of a
+    sample of the queries, two standard errors added where there are more queries."""
+    pdf = queries.orderBy(F.xxhash64(*qkeys)).select(vec).limit(_SAMPLE + 1).toPandas()
+    every, pdf = len(pdf) <= _SAMPLE, pdf[:_SAMPLE]
+    if pdf.empty:
+        return 1
+    qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+    sample = indexed.sparkSession.createDataFrame(
+        list(enumerate(qmat.tolist())), T.StructType([
+            T.StructField("_q", T.LongType()), T.StructField(vec, T.ArrayType(T.DoubleType()))]))
+    exact = search(sample, indexed, k, "_q", ids, vec, payload=["cell"])
+    cells: dict[int, list[int]] = {}
+    for r in exact.select("_q", "cell").collect():      # _SAMPLE x k rows
+        cells.setdefault(r["_q"], []).append(r["cell"])
+    places, q = [], 0
+    for order in _cell_order(qmat, centroids):
+        for row in order:
+            places.extend(np.argsort(row)[cells.get(q, [])].tolist())
+            q += 1
+    if not places:
+        return 1
+    want = recall if every else min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(pdf)))
+    return sorted(places)[max(0, math.ceil(want * len(places) - 1e-9) - 1)] + 1
 
 
 def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int = 5,
                   n_probe: int = 4, qkeys: list[str] | str = "qid",
-                  ids: list[str] | None = None, vec: str = "embedding") -> DataFrame:
-    """Top-``k`` by squared L2 among the chunks of each query's ``n_probe`` nearest cells.
-    Queries are broadcast in size-checked blocks, as in the exact search."""
+                  ids: list[str] | None = None, vec: str = "embedding",
+                  recall: float | None = RECALL) -> DataFrame:
+    """Top-``k`` by squared L2 among the chunks of each query's nearest cells: ``n_probe`` at least,
+    as many as ``recall`` needs by measure (not measured if it is None), and as many as hold ``k``
+    chunks. Queries are broadcast in size-checked blocks, as in the exact search."""
     qkeys = [qkeys] if isinstance(qkeys, str) else list(qkeys)
     ids = ids or ["doc_id", "pos"]
     spark = indexed.sparkSession
@@ -93,6 +136,11 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
     schema = T.StructType([T.StructField(c, qt[c]) for c in qkeys]
                           + [T.StructField(c, ct[c]) for c in ids]
                           + [T.StructField("distance", T.DoubleType())])
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in csel.groupBy("cell").count().collect():     # one row per cell
+        sizes[r["cell"]] = r["count"]
+    if recall is not None:
+        n_probe = max(n_probe, measured_probes(qsel, csel, centroids, k, recall, qkeys, ids, vec))
     blocks, _ = _query_blocks(qsel, qkeys, vec, DEFAULT_MAX_BROADCAST_BYTES)
     parts = []
     for block in blocks:  # each block is within the broadcast bound
@@ -100,7 +148,7 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
         if pdf.empty:
             continue
         qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        near = _nearest_cells(qmat, centroids, max(1, min(n_probe, len(centroids))))
+        near = _nearest_cells(qmat, centroids, max(1, n_probe), sizes, k)
         probes: dict[int, list[int]] = {}
         for qi, cells in enumerate(near):
             for c in cells:

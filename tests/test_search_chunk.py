@@ -94,3 +94,29 @@ def test_r9_recall_against_exact(spark):
     got = {(r.qid, r.doc_id): r.distance for r in approx.collect()}
     ex = {(r.qid, r.doc_id): r.distance for r in exact.collect()}
     assert all(abs(got[k] - ex[k]) < 1e-6 for k in got.keys() & ex.keys())
+
+
+def test_r9_recall_with_the_registered_parameters(spark):
+    from quarry.operators.approx import approx_search, build_ivf, recall_at_k
+    rnd = random.Random(12)
+    point = lambda: [rnd.gauss(0, 1) for _ in range(16)]
+    cdf = spark.createDataFrame([(i, 0, point()) for i in range(2500)],
+                                "doc_id long, pos long, embedding array<double>")
+    qdf = spark.createDataFrame([(q, point()) for q in range(300)],
+                                "qid long, embedding array<double>")
+    cents, indexed = build_ivf(cdf)
+    approx = approx_search(qdf, indexed, cents, k=5, n_probe=4)
+    rec = [r.recall for r in recall_at_k(approx, search(qdf, cdf, k=5, payload=[])).collect()]
+    assert len(rec) == 300 and sum(rec) / len(rec) >= 0.9
+
+
+def test_r9_goes_on_until_it_holds_k_rows(spark):
+    from quarry.operators.approx import approx_search, build_ivf
+    rnd = random.Random(13)
+    cdf = spark.createDataFrame([(i, 0, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)],
+                                "doc_id long, pos long, embedding array<double>")
+    qdf = cdf.select(F.col("doc_id").alias("qid"), "embedding").limit(10)
+    cents, indexed = build_ivf(cdf, n_cells=30)
+    for k, recall in ((25, 0.9), (25, None), (80, None)):
+        got = approx_search(qdf, indexed, cents, k=k, n_probe=4, recall=recall)
+        assert {r["count"] for r in got.groupBy("qid").count().collect()} == {min(k, 60)}
