@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import (decontam, embeds, langid, licenses, minhash, mixing, quality, spans,
-                        tokencount, tokenfile)
+from quarry.llm import (crosstok, decontam, embeds, langid, licenses, minhash, mixing, quality,
+                        spans, tokencount, tokenfile)
 from quarry.session import scratch_path
 
 
@@ -61,10 +61,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignment_report(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_embedding_near_dedup, op3_license_scan, op4_language_id,
     op5_quality_classifier, op6_benchmark_decontamination, op7_substring_dedup, op8_mix_sources,
-    op9_token_files, op10_token_counts)}
+    op9_token_files, op10_token_counts, op13_tokenizer_alignment)}
 
 # ------------------------------------------------------------------ SQL
 
