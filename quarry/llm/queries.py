@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import (crosstok, decontam, embeds, langid, licenses, minhash, mixing, quality,
-                        spans, tokencount, tokenfile)
+                        spans, tokencount, tokenfile, whiten)
 from quarry.session import scratch_path
 
 
@@ -61,6 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.alignment_report(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("byte_bpe_50k.json"),
@@ -70,7 +74,8 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_embedding_near_dedup, op3_license_scan, op4_language_id,
     op5_quality_classifier, op6_benchmark_decontamination, op7_substring_dedup, op8_mix_sources,
-    op9_token_files, op10_token_counts, op13_tokenizer_alignment)}
+    op9_token_files, op10_token_counts, op12_embedding_whitening,
+    op13_tokenizer_alignment)}
 
 # ------------------------------------------------------------------ SQL
 
