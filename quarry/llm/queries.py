@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import (crosstok, decontam, embeds, langid, licenses, minhash, mixing, quality,
-                        spans, tokencount, tokenfile, whiten)
+from quarry.llm import (crosstok, decontam, embeds, forest, langid, licenses, minhash, mixing,
+                        quality, spans, tokencount, tokenfile, whiten)
 from quarry.session import scratch_path
 
 
@@ -61,6 +61,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return forest.nearest(vectors, asked, k=20)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +80,8 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_embedding_near_dedup, op3_license_scan, op4_language_id,
     op5_quality_classifier, op6_benchmark_decontamination, op7_substring_dedup, op8_mix_sources,
-    op9_token_files, op10_token_counts, op12_embedding_whitening,
+    op9_token_files, op10_token_counts, op11_nearest_neighbours,
+    op12_embedding_whitening,
     op13_tokenizer_alignment)}
 
 # ------------------------------------------------------------------ SQL
