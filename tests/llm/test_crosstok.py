@@ -2,6 +2,7 @@
 within a group, documents counted per id pair."""
 
 import hashlib
+import random
 from bisect import bisect_left
 from collections import Counter
 
@@ -90,6 +91,25 @@ def test_groups_of_the_tables_documents(spark, pair):
     assert sum(r.n_groups for r in got) > 10_000 and sum(r.n_links > r.n_groups for r in got) > 100
 
 
+def test_ranks_encode_as_the_merges_do():
+    r = random.Random(4)
+    pool = ["word", "don't", "naïve", "12", "3.4%", "!?", "'s", "é", "Ωμ", "日本", "\u200b", "x\x1cy", "\x85",
+            "\u1680", "<|endoftext|>", "a\u00a0b", "\u00ad", "\n", "\t", "", "ſ", "\u0301", "º", "²", "¾"]
+    assert crosstok.Pair(A, B).is_ranked()
+    pair = crosstok.Pair(A, B, True)
+    texts = ["".join(r.choice(pool) + r.choice([" ", " ", " ", "  ", "", "\n"])
+                     for _ in range(r.randint(1, 40))) for _ in range(800)]
+    texts += ["".join(chr(r.randrange(0x250)) for _ in range(60)) for _ in range(800)]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(500)]
+    texts += [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}, {chr(c)} {chr(c)}{chr(c)}x" for c in range(0x250)]
+    texts += ["x" * 5000, " " * 5000, "\n" * 5000]
+    want = [e.ids for e in pair.a.encode_batch_fast([" " + t for t in texts],
+                                                    add_special_tokens=False)]
+    assert pair._encode_a(texts) == want
+    word_level = public_tokenizers.path("word_bpe_49k.json")
+    assert not crosstok.Pair(word_level, B).is_ranked()
+
+
 def test_wide_groups_and_small_slices(pair, monkeypatch):
     """Groups with many links are joined by distinct ids; slices of any size give the same."""
     texts = [t for t in TEXTS for _ in range(2)]
