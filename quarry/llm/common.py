@@ -7,7 +7,9 @@ tables in the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,36 @@ def drop_stored(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Give the memory that a worker no longer uses back to the system: Python workers are used
+    again by later stages, and what they keep would add up in an executor."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A ``mapInArrow`` function over batches of about BATCH_BYTES (a longer row is a batch of its
+    own), so that what it makes of a batch stays small; afterwards unused memory is released."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut():
+            for batch in batches:
+                rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows)
+        try:
+            yield from run(cut())
+        finally:
+            release()
+    return wrapped
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as a list of UTF-8 byte strings (None for null)."""
     return column.cast(pa.binary()).to_pylist()

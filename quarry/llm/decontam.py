@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, shingles, stored, utf8, words
+from quarry.llm.common import ALNUM, bounded, shingles, stored, utf8, words
 
 WINDOW = 10
 SHINGLE = 3
@@ -36,7 +36,7 @@ def _window_rows(window: int):
             items, hashes, texts = [], [], []
             for item, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 h, s, e = words(raw, ALNUM)
-                if item is None or not len(h):
+                if not len(h):
                     continue
                 low = raw.translate(_FOLD)
                 w = min(window, len(h))
@@ -54,10 +54,10 @@ _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class Block:
-    """Distinct windows of one block: texts, word hashes and the set of their shingles."""
+    """Distinct windows of one block: keys, texts, word hashes and the set of their shingles."""
 
-    def __init__(self, texts: list[bytes], hashes: list[bytes]):
-        self.texts = texts
+    def __init__(self, keys: list[bytes], texts: list[bytes], hashes: list[bytes]):
+        self.keys, self.texts = keys, texts
         self.hashes = [np.frombuffer(h, np.uint64) for h in hashes]
         self.by_size: dict[int, np.ndarray] = {}
         for k in range(1, SHINGLE + 1):
@@ -128,7 +128,7 @@ def _frequencies(shared):
     return run
 
 
-def _prober(shared, block_no: int):
+def _prober(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -139,12 +139,12 @@ def _prober(shared, block_no: int):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                 spans.append([{"start": a, "end": b}
                               for a, b in edge.reshape(-1, 2).tolist()])
-                found.append([block_no * (1 << 40) + w for w in seen])
+                found.append([block.keys[w] for w in seen])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()),
                                                      ("end", pa.int64())]))),
-                 pa.array(found, pa.list_(pa.int64()))],
+                 pa.array(found, pa.list_(pa.binary()))],
                 names=["doc_id", "t", "row", "n_words", "spans", "windows"])
     return run
 
@@ -154,15 +154,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """One row per row of ``docs`` (``doc_id``, ``text``) against ``benchmark`` (``item_id``,
     ``text``): doc_id, t (xxhash64 of the text), n_words, n_hit (words inside any occurrence of a window), spans (array of
     struct<start, end>: the hit words, 0-based, end exclusive), items (sorted array of the ids of
-    items with an occurring window, as text).
+    items with an occurring window, as text), n_items (their number, an item without an id included).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Null or empty
-    texts have no words and no hits; items without words or without an id give no window; items
-    that repeat an id are one item. Equal rows get equal results. Other columns aren't read."""
+    texts have no words and no hits; items without words give no window. Items that repeat an id are
+    one item; those without an id are one item too, which is hit and counted like any other and
+    only has no place in ``items``. An empty benchmark hits nothing. Equal rows get equal results. Other columns aren't read."""
     spark = docs.sparkSession
     wins = stored(benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-                  .mapInArrow(_window_rows(window), "item string, win binary, hashes binary")
-                  .distinct(), "decontam-windows")
+                  .mapInArrow(bounded(_window_rows(window)), "item string, win binary, hashes binary")
+                  .distinct().withColumn("key", F.unhex(F.md5("win"))), "decontam-windows")
     total = wins.select("win", "hashes").distinct().agg(
         F.sum(F.length("hashes") / 8)).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_words))
@@ -172,23 +173,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         src = stored(src.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
     else:
         src = src.withColumn("row", F.lit(0).cast("long"))
-    outs, names = [], []
+    outs = []
     for b in range(n_blocks):
-        part = wins.select("win", "hashes").distinct().filter(
+        part = wins.select("key", "win", "hashes").distinct().filter(
             F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == b)
         rows = sorted(part.collect(), key=lambda r: bytes(r["win"]))     # block_words at most
-        block = Block([bytes(r["win"]) for r in rows], [bytes(r["hashes"]) for r in rows])
+        block = Block(*([bytes(r[c]) for r in rows] for c in ("key", "win", "hashes")))
         counting = spark.sparkContext.broadcast(block)
-        freq = (src.select("text").mapInArrow(_frequencies(counting), "k int, x long, n long")
+        freq = (src.select("text").mapInArrow(bounded(_frequencies(counting)), "k int, x long, n long")
                 .groupBy("k", "x").agg(F.sum("n").alias("n")).collect())  # block's shingles
         block.rank({(r["k"], r["x"] & (2**64 - 1)): r["n"] for r in freq})
         shared = spark.sparkContext.broadcast(block)
         outs.append(src.select("doc_id", "t", "row", "text").mapInArrow(
-            _prober(shared, b), f"doc_id {kind}, t long, row long, n_words long, "
-            "spans array<struct<start:bigint,end:bigint>>, windows array<long>"))
-        names.append(spark.createDataFrame(
-            [(b * (1 << 40) + w, bytearray(t)) for w, t in enumerate(block.texts)],
-            "window long, win binary"))
+            bounded(_prober(shared)), f"doc_id {kind}, t long, row long, n_words long, "
+            "spans array<struct<start:bigint,end:bigint>>, windows array<binary>"))
     if n_blocks == 1:
         hits = stored(outs[0].select("doc_id", "t", F.monotonically_increasing_id().alias("row"),
                                      "n_words", "spans", "windows"), "decontam-hits")
@@ -201,13 +199,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             F.first("doc_id").alias("doc_id"), F.first("t").alias("t"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.flatten(F.collect_list("windows")).alias("windows")), "decontam-hits")
-    number = names[0]
-    for x in names[1:]:
-        number = number.unionByName(x)
-    item_of = wins.join(number, "win").select("window", "item")
-    found = (hits.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("window"))
-             .join(item_of, "window").select("row", "item").distinct()
-             .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items")))
+    found = (hits.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("key"))
+             .join(wins.select("key", "item"), "key").select("row", "item").distinct()
+             .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"),
+                                 F.count(F.lit(1)).alias("n_items")))
     # Spans of several blocks may overlap: sweep them in order.
     merged = F.aggregate(
         F.array_sort("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -222,24 +217,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         "doc_id", "t", "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
         .alias("n_hit"), "spans",
-        F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items")))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all its columns, without the rows that hold a window of an item."""
     gone = (find_contamination(docs, benchmark, window).filter("n_hit > 0")
             .select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).distinct())
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    return hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["__gone_id"])
-                       & (hashed["__text_hash"] == gone["__gone_t"]), "left_anti"
-                       ).drop("__text_hash")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"])
+                     & (F.xxhash64(docs["text"]) == gone["__gone_t"]), "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Digest columns of ``find_contamination``: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated."""
     return find_contamination(docs, benchmark, window).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold_remainder, mix, sum_vectors
+from quarry.llm.common import bounded, fold_remainder, mix, sum_vectors
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -96,7 +96,7 @@ def train(docs: DataFrame, keep: Column | None = None, max_langs: int = MAX_LANG
     labels, whose matrix would no longer be a small broadcast."""
     rows = docs.filter(F.col("lang").isNotNull())
     rows = rows.filter(keep) if keep is not None else rows
-    per_task = rows.select("lang", "text").mapInArrow(_counter, "lang string, v binary")
+    per_task = rows.select("lang", "text").mapInArrow(bounded(_counter), "lang string, v binary")
     sums = sum_vectors(per_task, "lang", "v")
     n = sums.count()
     if n > max_langs:
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double")
+        bounded(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -137,7 +137,7 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array([x != UND and s >= least
                                          for x, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

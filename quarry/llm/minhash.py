@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import (SPACED, connected_components, drop_stored, mix, shingles, stored,
-                               utf8, words)
+from quarry.llm.common import (SPACED, bounded, connected_components, drop_stored, mix, shingles,
+                               stored, utf8, words)
 
 BANDS = 32          # half of them of minima, half of maxima
 ROWS = 5
@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = hubs.unionByName(partners).repartition(n, "hub", "blk").sortWithinPartitions(
         "hub", "blk", "role")
-    return rows.mapInArrow(_checker(threshold), "u binary, v binary")
+    return rows.mapInArrow(bounded(_checker(threshold)), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80,
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     ``docs`` are not read, whatever their names."""
     src = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     signed = stored(src.mapInArrow(
-        _signer(shingle_words, bands, rows),
+        bounded(_signer(shingle_words, bands, rows)),
         _SIGN.format(id=src.schema["doc_id"].dataType.simpleString())), "minhash-sign")
     # One row per distinct set.
     sets_of = signed.filter(F.col("node").isNotNull())
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
         one = F.broadcast(one)      # else the texts are shuffled once
     texts = (src.join(one, "doc_id", "left_semi").select("text")
              .unionByName(src.filter(F.col("doc_id").isNull()).select("text")))
-    sets = stored(texts.mapInArrow(_setter(shingle_words), "node binary, set binary")
+    sets = stored(texts.mapInArrow(bounded(_setter(shingle_words)), "node binary, set binary")
                   .groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
     links = stored(_confirmed(with_load(star), sets, threshold), "minhash-links")
     comps = stored(connected_components(links, "u", "v"), "minhash-comps")
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
     blk = F.pmod(F.xxhash64("node", "key"), nblk).cast("int")
     rest = placed.filter("m > 2").join(mixed, "key", "left_semi")
     samples = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(
-        _sampler, "node binary, sample binary")
+        bounded(_sampler), "node binary, sample binary")
     short = F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     known = stored(nodes.select("node", "sig", short.alias("keys")).join(samples, "node"),
                    "minhash-samples")
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
                     "node", "comp", "blk", "n", "sig", "band", "keys", "sample"))
     n_part = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = (rest.repartition(n_part, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-            .mapInArrow(_estimator(threshold, SLACK), "u binary, v binary").distinct())
+            .mapInArrow(bounded(_estimator(threshold, SLACK)), "u binary, v binary").distinct())
     more = stored(more.join(star, ["u", "v"], "left_anti"), "minhash-more")
     if more.limit(1).count():
         links2 = _confirmed(with_load(more), sets, threshold)
@@ -318,8 +318,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: int = 80
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all its columns and one row per component of ``near_duplicates``: the
-    smallest doc_id (null ids only where there is no other), then the smallest text hash. Rows
-    with an empty set all stay."""
+    smallest doc_id (null ids only where there is no other), then the smallest text hash, then the
+    smallest hash of the row's columns. Rows with an empty set all stay."""
     found = near_duplicates(docs, **options).select("doc_id", "t", "cluster")
     grouped = stored(found.filter(F.col("cluster").isNotNull()).groupBy("cluster").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("w")
@@ -327,13 +327,14 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     alone = found.filter(F.col("cluster").isNull()).select("doc_id", "t")
     keep = grouped.unionByName(alone).distinct().withColumnsRenamed(
         {"doc_id": "__keep_id", "t": "__keep_t"})
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__keep_id"])
-                       & (hashed["__text_hash"] == keep["__keep_t"]), "left_semi")
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"])
+                     & (F.xxhash64(docs["text"]) == keep["__keep_t"]), "left_semi")
     repeated = found.filter(F.col("cluster").isNotNull()).groupBy("doc_id", "t").count().filter(
         "count > 1").limit(1).count()
-    if repeated:        # equal rows of one document: any of them is the one that stays
+    if repeated:        # rows of one id and text: the one whose columns have the least hash stays
         has_set = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-        kept = kept.filter(has_set).dropDuplicates(["doc_id", "__text_hash"]).unionByName(
-            kept.filter(~has_set))
-    return kept.drop("__text_hash")
+        row = F.struct(*[kept[f"`{c}`"] for c in kept.columns]).alias("row")
+        one = kept.filter(has_set).select("doc_id", F.xxhash64("text").alias("t"), row).groupBy(
+            "doc_id", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = one.select("row.*").unionByName(kept.filter(~has_set))
+    return kept

@@ -30,6 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quarry.llm.common import bounded
 
 BLOCK_IDS = 1 << 16
 MAX_WORDS = 400_000         # entries of a worker's word cache, about 90 MB
@@ -297,10 +300,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     order = [F.col("doc_id"), F.xxhash64("text")]
     field = docs.schema["doc_id"].dataType
     kind = field.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    arrow = to_arrow_type(field)
     ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(
         *order)
-    ranged.mapInArrow(_packer(tokenizer, end_id, block_ids, arrow), (
+    ranged.mapInArrow(bounded(_packer(tokenizer, end_id, block_ids, arrow)), (
         f"part int, block_start long, first_doc {kind}, last_doc {kind}, doc_ids array<{kind}>, "
         "doc_starts array<long>, n_ids long, bits int, payload binary")).write.parquet(path)
 

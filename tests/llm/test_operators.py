@@ -190,16 +190,58 @@ def test_near_vectors(spark):
     assert embeds.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_of_the_index_on_the_table(spark):
-    path = "/root/testdata/sf0.1/embeddings.parquet"
-    rows = [r for r in spark.read.parquet(path).collect() if r.label is not None]
-    x = np.array([r.embedding for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lab = np.array([r.label for r in rows])
-    n = sum(int(((x[lab == k] @ x[lab == k].T) >= 0.93).sum()) - int((lab == k).sum())
-            for k in set(lab))
-    found = embeds.near_vectors(spark.read.parquet(path)).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * n <= found <= n
+def planted(kind, n=300, d=64, seed=9):
+    """Pairs at cosine 0.93 to 0.95 of one label in 64 dimensions."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.normal(size=(n, d))), unit(rng.normal(size=(n, d)))
+    if kind == "common":            # all share a direction, as embeddings do
+        mean = unit(rng.normal(size=(1, d)))
+        a = unit(0.3 * a + 0.7 * mean)
+    if kind == "clusters":          # tight groups of ten
+        a = unit(np.repeat(a[:n // 10], 10, axis=0) + 0.3 * a)
+    b = unit(b - np.einsum("ij,ij->i", a, b)[:, None] * a)
+    c = rng.uniform(0.9301, 0.95, (n, 1))
+    return np.concatenate((a, c * a + np.sqrt(1 - c * c) * b))
+
+
+@pytest.mark.parametrize("kind", ["even", "common", "clusters", "hot"])
+def test_recall_of_planted_links(spark, kind):
+    x = planted(kind)
+    label = np.zeros(len(x), int) if kind == "hot" else np.arange(len(x)) % (len(x) // 2) % 3
+    rows = [(i, [float(c) for c in e], int(k)) for i, (e, k) in enumerate(zip(x, label))]
+    if kind == "hot":               # and one vector of a third of all rows
+        rows += [(1000 + i, rows[5][1], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    y = np.array([r[1] for r in rows])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    link = (y @ y.T >= 0.93) & (lab[:, None] == lab)
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r for r in embeds.near_vectors(df).collect()}
+    n, found = int(link.sum()), sum(r.n_links for r in got.values())
+    assert n >= 500 and 0.9 * n <= found <= n
+    want = components(range(len(rows)), list(zip(*np.nonzero(link))))
+    same = sum(got[r[0]].component_id == rows[want[i]][0] for i, r in enumerate(rows))
+    assert same >= 0.9 * len(rows)
+    if kind == "hot":
+        assert got[5].n_links >= 300 and got[1007].component_id <= 5
+
+
+def test_links_at_the_bound_and_small_blocks(spark, monkeypatch):
+    """Counts don't depend on the blocks; a cosine of exactly the threshold links."""
+    x = planted("clusters", 100)
+    df = spark.createDataFrame([(i, [float(c) for c in e], 0) for i, e in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int")
+    whole = sorted(map(tuple, embeds.near_vectors(df).collect()))
+    monkeypatch.setattr(embeds, "BLOCK", 16)
+    assert sorted(map(tuple, embeds.near_vectors(df).collect())) == whole
+    two = spark.createDataFrame([(1, [24.0, 7.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)],
+                                "vec_id long, embedding array<double>, label int")
+    a, b = embeds.units(np.array([[24.0, 7.0], [1.0, 0.0]]))
+    got = {r.vec_id: r.n_links for r in embeds.near_vectors(
+        two, cosine=float(np.einsum("i,i", a, b)), shared=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
 
 
 # ------------------------------------------------------------------ 3
@@ -315,7 +357,7 @@ def test_contamination(spark, docs, block_words):
              (3, "wörd1"), (4, None), (5, ""), (6, "no such words here at all in any text ok"),
              (1, "second text of item one"), (None, "wörd2 wörd3"), (7, "one two")]
     items = [(i, t) for i, t in items]
-    wins = {(str(i), tuple(w[j:j + min(10, len(w))])) for i, t in items if i is not None
+    wins = {(i if i is None else str(i), tuple(w[j:j + min(10, len(w))])) for i, t in items
             for w in [ALNUM.findall(lower(t))] if w
             for j in range(len(w) - min(10, len(w)) + 1)}
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -329,7 +371,8 @@ def test_contamination(spark, docs, block_words):
                 if tuple(w[j:j + len(x)]) == x:
                     hit.update(range(j, j + len(x)))
                     found.add(item)
-        assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(found))
+        named = sorted(i for i in found if i is not None)
+        assert (r.n_words, r.n_hit, r["items"], r.n_items) == (len(w), len(hit), named, len(found))
         assert sum(s.end - s.start for s in r.spans) == len(hit)
     clean = {r.doc_id for r in got if r.n_hit == 0}
     assert {r.doc_id for r in decontam.uncontaminated(docs, bench).collect()} == clean
