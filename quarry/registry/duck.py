@@ -19,6 +19,8 @@ HTML_ENTITIES = [
     ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
     ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
 ]
+RAW_AND_COMMENTS = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>"
+                    r"|<style\b[^>]*>.*?</style\s*>")
 NUM_REF = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 # On the given pages, where no element is nested in one of its own name, a block ends at its own
 # closing tag or at the close of a container.
@@ -100,7 +102,7 @@ def strip_tags(x: str) -> str:
 
 
 def strip_boilerplate(x: str) -> str:
-    x = rr(x, H.RAW_AND_COMMENTS)
+    x = rr(x, RAW_AND_COMMENTS)
     for tag in H.BOILERPLATE_TAGS:
         x = rr(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>")
     return x
@@ -160,7 +162,7 @@ def description(x: str) -> str:
 
 
 def html_text(x: str) -> str:
-    y = rr(x, H.RAW_AND_COMMENTS + r"|<!DOCTYPE[^>]*>|<\?[^>]*>")
+    y = rr(x, RAW_AND_COMMENTS + r"|<!DOCTYPE[^>]*>|<\?[^>]*>")
     nodes = (f"list_filter(string_split(regexp_replace({y}, {q('<[A-Za-z/!][^>]*>')}, chr(1), 'g'),"
              f" chr(1)), lambda n_: n_ <> '')")
     joined = f"array_to_string(list_transform({nodes}, lambda e_: {decode_entities('e_')}), {q(chr(10) * 2)})"

@@ -10,7 +10,7 @@ from quarry.operators import web
 from quarry.plans.crawl import crawl
 from quarry.registry import duck as D
 from quarry.registry.oracle import (LINKS, LINKS_ALL, RAW_LINKS, SCRAPED, c3_windows, oracle,
-                                    scrape_sql, with_, with_rec)
+                                    resolve_sql, scrape_sql, with_, with_rec)
 from quarry.registry.queries import NOW, query
 from quarry.sources import derived
 from quarry.sources.tables import table
@@ -269,3 +269,70 @@ def w16_sql():
     src = (f"(SELECT url AS filename, 'web' AS file_type, title, description, "
            f"TIMESTAMP '{NOW}' AS created_at, text FROM scraped)")
     return with_(SCRAPED) + c3_windows(src, "filename, file_type, title, description, created_at")
+
+
+# Nested pages: SQL knows how they are built, so each result is the plain page's between pieces
+# that are written out here, without any matching of nested elements or quoted values.
+_PLAIN = D.strip_boilerplate("replace(html, 'article', 'section')")
+_DEEP = "CAST(page_id % 40 AS BIGINT)"
+_REGION = (f"repeat('<div title=\"</div>\">', {_DEEP}) || {_PLAIN} || repeat('</div>', {_DEEP}) || "
+           "'<p title=\"z > y\">closing words of page ' || page_id || '</p>'")
+
+
+@query("w4_nested_links")
+def w4_nested(spark, sf):
+    return web.raw_links(derived.nested_pages(spark, sf), follow_nav=True)
+
+
+@oracle("w4_nested_links")
+def w4_nested_sql():
+    return f"""
+    SELECT url AS src, href, {resolve_sql('url', 'href')} AS dst
+    FROM (SELECT url, unnest(list_prepend('/menu/' || page_id, {D.anchors('html')})) AS href
+          FROM pages)"""
+
+
+@query("w8_nested_boilerplate")
+def w8_nested(spark, sf):
+    """The links' titles are kept out: the SQL's plain patterns can't pass them."""
+    pages = derived.nested_pages(spark, sf)
+    return pages.select("page_id", F.replace(
+        H.strip_boilerplate("html"), F.lit(' title="x > <a href=y>"'), F.lit("")).alias("html"))
+
+
+@oracle("w8_nested_boilerplate")
+def w8_nested_sql():
+    return f"""
+    SELECT page_id, '<html><head><title data-n="1 > 0">Page ' || page_id ||
+           ' inside</title><meta title="a > b" name="description" content="more > less ' || page_id
+           || '"></head><body class="x > y"><div title="<div class=content>">'
+           || '<div data-t="p > q" class="page-content">' || {_REGION}
+           || '</div><p>text outside of the region</p></div></body></html>' AS html
+    FROM pages"""
+
+
+@query("w9_nested_region")
+def w9_nested(spark, sf):
+    r = H.main_region(H.strip_boilerplate("html"))
+    return derived.nested_pages(spark, sf).select("page_id", r["kind"].alias("kind"), F.replace(
+        r["html"], F.lit(' title="x > <a href=y>"'), F.lit("")).alias("region"))
+
+
+@oracle("w9_nested_region")
+def w9_nested_sql():
+    return f"SELECT page_id, 'div' AS kind, {_REGION} AS region FROM pages"
+
+
+@query("w14_nested_scrape")
+def w14_nested(spark, sf):
+    return web.scrape(derived.nested_pages(spark, sf), now=NOW)
+
+
+@oracle("w14_nested_scrape")
+def w14_nested_sql():
+    return f"""
+    SELECT page_id, url, 'Page ' || page_id || ' inside' AS title,
+           'more > less ' || page_id AS description, TIMESTAMP '{NOW}' AS scraped_at,
+           array_to_string(list_append({D.kept_blocks(_PLAIN)}, 'closing words of page ' || page_id),
+                           chr(10) || chr(10)) AS text
+    FROM pages"""

@@ -139,3 +139,25 @@ def lexicon(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
     return ranked.select("word", F.when(F.col("rank") % 2 == 1, 1).otherwise(-1).alias(
         "polarity"))
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied pages inside elements nested in their own kind, with ``>`` in attribute values:
+    a menu in a menu, the page (its articles made sections) in a div in a div whose class marks
+    the main text, up to 40 divs deep by page_id, and text outside of it. Its links carry a title
+    with a tag in it."""
+    n = F.col("page_id").cast("string")
+    deep = (F.col("page_id") % 40).cast("int")
+    inner = F.replace(F.replace("html", F.lit("article"), F.lit("section")), F.lit("<a href"),
+                      F.lit('<a title="x > <a href=y>" href'))
+    html = F.concat(
+        F.lit('<html><head><title data-n="1 > 0">Page '), n, F.lit(' inside</title><meta title="a > b" '
+              'name="description" content="more > less '), n, F.lit('"></head><body class="x > y">'
+              '<nav title="m > n">menu <nav>sub <a title="<a href=z>" href="/menu/'), n,
+        F.lit('">entry</a></nav> end of the menu here</nav><div title="<div class=content>">'
+              '<div data-t="p > q" class="page-content">'),
+        F.repeat(F.lit('<div title="</div>">'), deep), inner, F.repeat(F.lit("</div>"), deep),
+        F.lit('<p title="z > y">closing words of page '), n,
+        F.lit("</p></div><p>text outside of the region</p></div><footer><footer>f</footer>foot of "
+              "the page</footer></body></html>"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
