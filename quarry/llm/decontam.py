@@ -27,6 +27,7 @@ from quarry.llm.common import ALNUM, bounded, shingles, stored, utf8, words
 
 WINDOW = 10
 SHINGLE = 3
+MAX_BROADCAST_IDS = 1_000_000   # documents to remove, 16 bytes each
 BLOCK_WORDS = 2_000_000     # 16 MB of word hashes in a broadcast block
 
 
@@ -223,8 +224,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all its columns, without the rows that hold a window of an item."""
-    gone = (find_contamination(docs, benchmark, window).filter("n_hit > 0")
-            .select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).distinct())
+    gone = stored(find_contamination(docs, benchmark, window).filter("n_hit > 0").select(
+        F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).distinct(),
+        "decontam-gone")
+    if gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)    # else the documents are shuffled once
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"])
                      & (F.xxhash64(docs["text"]) == gone["__gone_t"]), "left_anti")
 
