@@ -170,16 +170,36 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, by: str, key: str = "doc_id",
 WHOLE_DAYS = {"day", "dd", "week", "month", "mon", "mm", "quarter", "year", "yyyy", "yy"}
 
 
+#: Steps of the calendar for names of periods that no interval has.
+PERIOD_STEPS = {"day": "1 day", "dd": "1 day", "week": "7 days", "month": "1 month",
+                "mon": "1 month", "mm": "1 month", "quarter": "3 months", "year": "1 year",
+                "yyyy": "1 year", "yy": "1 year", "hour": "1 hour", "minute": "1 minute",
+                "second": "1 second"}
+
+
 def trend(rows: DataFrame, match: Column, ts: str = "ts", period: str = "day",
-          window: int = 3) -> DataFrame:
-    """Matching rows per period, change from the previous period and the moving
-    average over the last ``window`` periods. Windows run over the per-period counts (one
-    row per period), not over the rows."""
-    start = F.date_trunc(period, F.col(ts))
+          window: int = 3, start=None, end=None) -> DataFrame:
+    """Matching rows per period, change from the previous period and the moving average over
+    the last ``window`` periods. Every period between the first and the last one has a row, with 0
+    where nothing matches: of the matching rows, or of the range ``start`` to ``end`` (both
+    included) if given. Windows run over the periods (one row each), not over the rows."""
+    def floor(c: Column) -> Column:
+        return F.date_trunc(period, c.cast("timestamp_ntz"))
+    sel = rows.filter(match & F.col(ts).isNotNull())
+    first, last = F.min(floor(F.col(ts))), F.max(floor(F.col(ts)))
+    if start is not None:
+        sel = sel.filter(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+        first = floor(F.lit(start))
+    if end is not None:
+        sel = sel.filter(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
+        last = floor(F.lit(end))
+    found = sel.groupBy(floor(F.col(ts)).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    unit = PERIOD_STEPS.get(period.lower(), period)
+    edges = sel.agg(first.alias("a"), last.alias("b")).filter("a IS NOT NULL AND b >= a")
+    calendar = edges.select(F.explode(F.expr(f"sequence(a, b, interval {unit})")).alias("period"))
+    per = calendar.join(found, "period", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if period.lower() in WHOLE_DAYS:
-        start = F.to_date(start)
-    per = rows.filter(match).groupBy(start.alias("period")).agg(
-        F.count(F.lit(1)).alias("n"))
+        per = per.withColumn("period", F.to_date("period"))
     w = Window.orderBy("period")
     return per.select("period", "n", (F.col("n") - F.lag("n").over(w)).alias("change"),
                       F.round(F.avg("n").over(w.rowsBetween(-(window - 1), 0)), 6).alias(

@@ -163,13 +163,36 @@ def a7(spark, sf):
     return A.trend(table(spark, sf, "events"), F.col("event_type") == "click")
 
 
+def _trend_sql(match, unit, step, label, first, last, window=3):
+    return f"""
+    WITH sel AS (SELECT date_trunc('{unit}', ts) AS p FROM events WHERE {match}),
+    calendar AS (SELECT unnest(generate_series({first}, {last}, INTERVAL {step})) AS p)
+    SELECT {label} AS period, n, n - lag(n) OVER (ORDER BY p) AS change,
+           round(avg(n) OVER (ORDER BY p ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), 6)
+               AS moving_avg
+    FROM (SELECT c.p, count(sel.p) AS n FROM calendar c LEFT JOIN sel ON sel.p = c.p GROUP BY c.p)"""
+
+
 @oracle("a7_trend")
 def a7_sql():
-    return """
-    SELECT period, n, n - lag(n) OVER (ORDER BY period) AS change,
-           round(avg(n) OVER (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg
-    FROM (SELECT CAST(date_trunc('day', ts) AS DATE) AS period, count(*) AS n
-          FROM events WHERE event_type = 'click' GROUP BY 1)"""
+    return _trend_sql("event_type = 'click'", "day", "1 DAY", "CAST(p AS DATE)",
+                      "(SELECT min(p) FROM sel)", "(SELECT max(p) FROM sel)")
+
+
+@query("a7_trend_hours")
+def a7_hours(spark, sf):
+    """Purchases of one user in twenty, by the hour over a fixed range: most hours have none."""
+    return A.trend(table(spark, sf, "events"),
+                   (F.col("event_type") == "purchase") & (F.col("user_id") % 20 == 0), period="hour",
+                   window=24, start="2023-12-30 06:00:00", end="2024-01-20 17:30:00")
+
+
+@oracle("a7_trend_hours")
+def a7_hours_sql():
+    return _trend_sql(
+        "event_type = 'purchase' AND user_id % 20 = 0 AND ts >= TIMESTAMP '2023-12-30 06:00:00' "
+        "AND ts <= TIMESTAMP '2024-01-20 17:30:00'", "hour", "1 HOUR", "p",
+        "TIMESTAMP '2023-12-30 06:00:00'", "TIMESTAMP '2024-01-20 17:00:00'", 24)
 
 
 @query("a8_recommendations")

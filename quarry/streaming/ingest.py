@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.chunk import chunk_words
 from quarry.operators.extract import extract_text
+from quarry.plans.ingest import ingest_files
 from quarry.sources.files import FILE_SCHEMA, with_file_columns
 
 
@@ -40,6 +41,28 @@ def chunk_stream(stream: DataFrame, size: int = 300, overlap: int = 50) -> DataF
                        "text", size, overlap)
 
 
+def stream_files(stream: DataFrame, out: str, errors: str, checkpoint: str, now=None,
+                 available_now: bool = True, processing_time: str = "30 seconds"):
+    """Ingest a stream of files (``file_stream``) as the upload flow does: validation, archive
+    members, extraction and word windows, with two sinks. Index rows go to ``out``, and the files
+    or members that were refused or couldn't be read go to ``errors`` (path, filename, error).
+
+    Both are tables with one folder ``batch_id=<n>`` per micro-batch, which a batch that runs again
+    writes anew, so a replay after a failure adds nothing."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows, failed = ingest_files(batch, now=now)
+        for table, path in ((rows, out), (failed, errors)):
+            table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = (writer.trigger(availableNow=True) if available_now
+              else writer.trigger(processingTime=processing_time))
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 def stream_ingest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True,
                   processing_time: str = "30 seconds"):
     """Start the ingest query; with ``available_now`` wait for the backlog to finish."""

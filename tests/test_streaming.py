@@ -1,5 +1,8 @@
 """Streaming equals batch (S10, Q8); a restart adds nothing."""
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from quarry.operators.chunk import chunk_words
@@ -44,3 +47,32 @@ def test_q8_stream_equals_batch(spark, tmp_path):
         status.stream_status(s, sink, ck, watermark=wm)
         got = status.status_view(spark, cat, sink)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_s10_files_archives_and_errors(spark, tmp_path):
+    """Refused, corrupt and archived files: rows in one of two sinks, none twice on a replay."""
+    src, zipped = tmp_path / "in", io.BytesIO()
+    src.mkdir()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("d/", "")
+        z.writestr("d/inner.txt", "text inside an archive")
+        z.writestr("d/bad.txt", b"\xff\xfe")
+    for name, data in (("a.txt", b"plain text of a file"), ("bad.txt", b"\xff\xfe\xfa"),
+                       ("tool.exe", b"MZ"), ("good.zip", zipped.getvalue()),
+                       ("torn.zip", zipped.getvalue()[:40])):
+        (src / name).write_bytes(data)
+    out, errors, ck = (str(tmp_path / n) for n in ("out", "errors", "ck"))
+
+    def run(checkpoint):
+        ingest.stream_files(ingest.file_stream(spark, f"file://{src}", 100), out, errors, checkpoint,
+                            now="2024-06-01 00:00:00")
+        rows = sorted((r.filename, r.page_content) for r in spark.read.parquet(out).collect())
+        failed = sorted((r.filename, r.error is not None)
+                        for r in spark.read.parquet(errors).collect())
+        return rows, failed
+    rows, failed = run(ck)
+    assert [t for _, t in rows] == ["plain text of a file", "text inside an archive"]
+    assert len(failed) == 4 and all(e for _, e in failed)
+    assert {f.split("/")[-1] for f, _ in failed} == {"bad.txt", "tool.exe", "torn.zip"}
+    assert run(ck) == (rows, failed)                        # a restart adds nothing
+    assert run(str(tmp_path / "again")) == (rows, failed)   # nor does a replay of the batch
