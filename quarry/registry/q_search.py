@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import cells as CE
 from quarry.operators import prompts as P
 from quarry.operators import search as S
+from quarry.operators.approx import recall_at_k
 from quarry.operators.catalog import apply_filters
 from quarry.registry import duck as D
 from quarry.registry.oracle import CATALOG, CHUNKS, EPOCH, c3_windows, oracle, with_
 from quarry.registry.queries import query
+from quarry.session import scratch_path
 from quarry.sources import derived
 from quarry.sources.tables import table
 
@@ -126,17 +129,18 @@ def _variants(spark, sf):
 @query("r7_multi_query_search")
 def r7(spark, sf):
     return S.multi_query_search(_variants(spark, sf), derived.chunks(spark, sf).drop(
-        "created_at", "file_type"), k=5, content_keys=["doc_id", "pos", "filename",
-                                                        "page_content"])
+        "created_at", "file_type"), k=5, content_keys=["filename", "page_content"])
 
 
 @oracle("r7_multi_query_search")
 def r7_sql():
     return with_(CATALOG, CHUNKS, """vs AS (
         SELECT vec_id % 100 AS qid, vec_id AS variant, embedding FROM embeddings)""") + f"""
-    SELECT qid, doc_id, pos, filename, page_content, min(rank) AS rank FROM (
+    SELECT qid, doc_id, pos, filename, page_content, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid, filename, page_content
+                                   ORDER BY rank, doc_id, pos) AS r_ FROM (
       {_pairs_sql('vs', 'chunks', ['qid', 'variant'], 5, ['filename', 'page_content'])})
-    GROUP BY qid, doc_id, pos, filename, page_content"""
+    ) WHERE r_ = 1"""
 
 
 @query("r8_batch_search")
@@ -210,3 +214,59 @@ def l10_sql():
     SELECT doc_id, pos, coalesce(filename, 'Unknown') AS filename,
            CASE WHEN length(page_content) > 500 THEN substring(page_content, 1, 500) || '...'
                 ELSE page_content END AS extract FROM chunks"""
+
+
+def _cell_index(spark, sf):
+    """The derived chunks written by cell, with the columns that the searches return."""
+    ch = derived.chunks(spark, sf).select("doc_id", "pos", *PAYLOAD, "embedding")
+    return CE.write_cells(ch, scratch_path(spark, "cells"))
+
+
+@query("r2_cells_search")
+def r2_cells(spark, sf):
+    """R2 over the stored index: cells ruled out by the triangle inequality aren't read."""
+    return CE.search_cells(_queries(spark, sf), _cell_index(spark, sf), k=5, payload=PAYLOAD)
+
+
+@oracle("r2_cells_search")
+def r2_cells_sql():
+    return r2_sql()
+
+
+@query("r3_cells_filtered")
+def r3_cells(spark, sf):
+    return CE.search_cells(_queries(spark, sf), _cell_index(spark, sf), k=5, payload=PAYLOAD,
+                           filters=FILTERS)
+
+
+@oracle("r3_cells_filtered")
+def r3_cells_sql():
+    return r3_sql()
+
+
+@query("r8_cells_batch")
+def r8_cells(spark, sf):
+    cent = S.label_centroids(table(spark, sf, "embeddings"))
+    return CE.search_cells(cent, _cell_index(spark, sf), k=5, qkeys="label",
+                           payload=["filename"])
+
+
+@oracle("r8_cells_batch")
+def r8_cells_sql():
+    return r8_sql()
+
+
+@query("r9_cells_recall")
+def r9_cells(spark, sf):
+    """R9 over the stored index: mean share of the exact neighbours of all queries that the probed
+    cells hold, against the wanted 0.9."""
+    index, q = _cell_index(spark, sf), _queries(spark, sf)
+    exact = CE.search_cells(q, index, k=5)
+    near = CE.search_cells(q, index, k=5, n_probe=CE.measured_probes(q, index, 5))
+    return recall_at_k(near, exact).agg(
+        F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+@oracle("r9_cells_recall")
+def r9_cells_sql():
+    return "SELECT count(*) AS n_queries, true AS reached FROM embeddings"
