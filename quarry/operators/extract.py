@@ -356,10 +356,18 @@ def assemble_text(pages: DataFrame, images: DataFrame | None = None, key: str =
         body, F.lit(IMAGE_DESCRIPTIONS_HEADER), F.col("_imgs"))).otherwise(body).alias(text))
 
 
-def read_table(spark, path: str, fmt: str, **options) -> DataFrame:
-    """JSON, XML or CSV files as rows (schema inferred unless given)."""
-    reader = spark.read.format(fmt)
+def read_table(spark, path: str, fmt: str, schema=None, corrupt: str | None = None,
+               **options) -> DataFrame:
+    """JSON, XML or CSV files as typed rows (the schema is inferred over all files unless
+    given). With ``corrupt``, a record that doesn't fit the schema stays as a row whose raw text is in
+    that column (null in the other rows); without it such a record has nulls only."""
     defaults = {"csv": {"header": "true", "inferSchema": "true"}, "xml": {"rowTag": "row"}}
-    for k, v in {**defaults.get(fmt, {}), **options}.items():
-        reader = reader.option(k, v)
-    return reader.load(path)
+    reader = spark.read.format(fmt).options(**{**defaults.get(fmt, {}), **options})
+    if corrupt:
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
+        found = schema if schema is not None else reader.load(path).schema
+        if isinstance(found, str):
+            found = T.StructType.fromDDL(found)
+        schema = T.StructType([f for f in found.fields if f.name != corrupt]
+                              + [T.StructField(corrupt, T.StringType())])
+    return (reader if schema is None else reader.schema(schema)).load(path)

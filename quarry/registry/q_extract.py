@@ -179,6 +179,43 @@ def e8_sql():
     return "SELECT doc_id, lang, source, n_chars FROM documents"
 
 
+# Values survive a file: quotes doubled, line breaks and spaces kept.
+CSV_OPTIONS = {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+TABLE_COLS = ["doc_id", "lang", "source", "n_chars", "text"]
+
+
+def _typed(read, d):
+    return read.select(*[F.col(c).cast(d.schema[c].dataType).alias(c) for c in TABLE_COLS],
+                       F.col("_bad").alias("error"))
+
+
+@query("e8_read_csv")
+def e8_csv(spark, sf):
+    d, path = _docs(spark, sf).select(*TABLE_COLS), scratch_path(spark, "csv")
+    d.write.options(header="true", **{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
+                    ).csv(path)
+    return _typed(X.read_table(spark, path, "csv", corrupt="_bad", **CSV_OPTIONS), d)
+
+
+@oracle("e8_read_csv")
+def e8_csv_sql():
+    return f"SELECT {', '.join(TABLE_COLS)}, CAST(NULL AS VARCHAR) AS error FROM documents"
+
+
+@query("e8_read_xml")
+def e8_xml(spark, sf):
+    d, path = _docs(spark, sf).select(*TABLE_COLS), scratch_path(spark, "xml")
+    d.write.format("xml").option("rowTag", "row").save(path)
+    return _typed(X.read_table(spark, path, "xml", corrupt="_bad",
+                               ignoreSurroundingSpaces="false"), d)
+
+
+@oracle("e8_read_xml")
+def e8_xml_sql():
+    return f"SELECT {', '.join(TABLE_COLS)}, CAST(NULL AS VARCHAR) AS error FROM documents"
+
+
 # --- E9 ---------------------------------------------------------------------------------
 
 @query("e9_extract_docx")

@@ -45,20 +45,31 @@ ARCHIVE_SCHEMA = T.StructType([
 ])
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+BATCH_BYTES = 16 * 1024 * 1024      # members of one output batch
+
+
+def _expand(batches: Iterator[pd.DataFrame], batch_bytes: int = BATCH_BYTES
+            ) -> Iterator[pd.DataFrame]:
+    """Members in batches of bounded bytes, whatever the archives' sizes: one member is expanded
+    at a time, and small archives share a batch."""
+    names, rows, held = [f.name for f in ARCHIVE_SCHEMA.fields], [], 0
     for pdf in batches:
         for archive, data in zip(pdf["path"], pdf["content"]):
-            rows = []       # one archive in memory at a time
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     for info in z.infolist():
                         if info.filename.endswith("/"):
                             continue  # directory entry
-                        member = z.read(info.filename)
+                        member = z.read(info)
                         rows.append((archive, info.filename, len(member), member, None))
+                        held += len(member)
+                        if held >= batch_bytes:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
             except Exception as e:  # corrupt, encrypted or unsupported: a row, not a failed job
                 rows.append((archive, None, None, None, f"Error reading archive: {e}"))
-            yield pd.DataFrame(rows, columns=[f.name for f in ARCHIVE_SCHEMA.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
