@@ -178,11 +178,15 @@ PERIOD_STEPS = {"day": "1 day", "dd": "1 day", "week": "7 days", "month": "1 mon
 
 
 def trend(rows: DataFrame, match: Column, ts: str = "ts", period: str = "day",
-          window: int = 3, start=None, end=None) -> DataFrame:
+          window: int = 3, start=None, end=None, fill: bool | None = None) -> DataFrame:
     """Matching rows per period, change from the previous period and the moving average over
-    the last ``window`` periods. Every period between the first and the last one has a row, with 0
-    where nothing matches: of the matching rows, or of the range ``start`` to ``end`` (both
-    included) if given. Windows run over the periods (one row each), not over the rows."""
+    the last ``window`` periods. With ``fill`` (by default when a range is given) every period
+    between the first and the last one has a row, with 0 where nothing matches: of the matching rows,
+    or of the range ``start`` to ``end`` (both included). Without it, only periods with matches have
+    rows, and the previous period is the previous row. Windows run over the periods (one row each),
+    not over the rows."""
+    fill = (start is not None or end is not None) if fill is None else fill
+
     def floor(c: Column) -> Column:
         return F.date_trunc(period, c.cast("timestamp_ntz"))
     sel = rows.filter(match & F.col(ts).isNotNull())
@@ -194,10 +198,13 @@ def trend(rows: DataFrame, match: Column, ts: str = "ts", period: str = "day",
         sel = sel.filter(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
         last = floor(F.lit(end))
     found = sel.groupBy(floor(F.col(ts)).alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    unit = PERIOD_STEPS.get(period.lower(), period)
-    edges = sel.agg(first.alias("a"), last.alias("b")).filter("a IS NOT NULL AND b >= a")
-    calendar = edges.select(F.explode(F.expr(f"sequence(a, b, interval {unit})")).alias("period"))
-    per = calendar.join(found, "period", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = found
+    if fill:
+        unit = PERIOD_STEPS.get(period.lower(), period)
+        edges = sel.agg(first.alias("a"), last.alias("b")).filter("a IS NOT NULL AND b >= a")
+        calendar = edges.select(F.explode(F.expr(f"sequence(a, b, interval {unit})"))
+                                .alias("period"))
+        per = calendar.join(found, "period", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if period.lower() in WHOLE_DAYS:
         per = per.withColumn("period", F.to_date("period"))
     w = Window.orderBy("period")

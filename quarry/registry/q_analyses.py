@@ -160,7 +160,8 @@ def a6_sql():
 
 @query("a7_trend")
 def a7(spark, sf):
-    return A.trend(table(spark, sf, "events"), F.col("event_type") == "click")
+    return A.trend(table(spark, sf, "events"), F.col("event_type") == "click",
+                   fill=True)
 
 
 def _trend_sql(match, unit, step, label, first, last, window=3):
