@@ -3,7 +3,14 @@
 Training counts the 1- to 3-grams of every labelled text (lower-cased letters, other characters
 as one space) into ``BUCKETS`` hash buckets per language: one vector per task and language, added
 by a tree of sums. The log-probability matrix (languages x buckets doubles, a fixed size per
-language) is broadcast; texts are scored in numpy as sparse counts times that matrix.
+language) is broadcast; texts are scored in numpy by blocks: the grams of many texts are the
+entries of sparse rows, and a block of rows times that matrix is one gather and one sum per row.
+
+Awkward rows, in all functions here: a null or empty text, or one without a letter, is ``und`` with
+score 0, and counts for its language's prior only; a null ``lang`` trains nothing; repeated rows
+are rows of their own; very long texts are hashed in segments that overlap by the longest order
+less one; an empty table gives an empty result; other columns are kept (``identified``) or not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded, fold_remainder, mix, sum_vectors
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 14     # a power of two
 ORDERS = (1, 2, 3)
 MAX_LANGS = 1000    # distinct labels; bounds the matrix (8 * BUCKETS bytes each)
 ALPHA = 0.5
@@ -28,38 +35,90 @@ _GAP = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SEGMENT = 1 << 20
+_BLOCK = 1 << 15    # code points of the texts that are hashed and scored at once
+
+
+def _normalised(text: str) -> str:
+    return " " + _GAP.sub(" ", text.lower()) + " "
+
+
+def _codes(part: str) -> np.ndarray:
+    return np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hashed(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(order - 1, bucket of the gram that starts at each code point), order by order."""
+    acc = np.zeros(len(c), np.uint64)
+    for j in range(max(ORDERS)):
+        n = len(c) - j
+        if n <= 0:
+            return
+        acc = acc[:n] + (c[j:] + np.uint64(1)) * _K[j]
+        if j + 1 in ORDERS:
+            yield j, (mix(acc + np.uint64(j)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def gram_counts(text: str) -> np.ndarray:
-    """Counts of the text's n-grams per bucket; long texts in segments."""
+    """Counts of the text's n-grams per bucket; long texts in segments. A segment reads the longest
+    order less one code points before it, and counts the grams that end in itself."""
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), _SEGMENT):
-        # Segments overlap by the longest order less one, shorter orders counted once.
+    norm = _normalised(text)
+    for at in range(0, len(norm), _SEGMENT):
         lead = max(0, at - max(ORDERS) + 1)
-        part = " " + _GAP.sub(" ", text[lead: at + _SEGMENT].lower()) + " "
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        acc = np.zeros(len(c), np.uint64)
-        for j in range(max(ORDERS)):
-            n = len(c) - j
-            if n <= 0:
-                break
-            acc = acc[:n] + (c[j:] + np.uint64(1)) * _K[j]
-            if j + 1 in ORDERS:
-                h = mix(acc + np.uint64(j))
-                total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64),
-                                     minlength=BUCKETS)
+        for j, h in _hashed(_codes(norm[lead: at + _SEGMENT])):
+            total += np.bincount(h[max(0, at - lead - j):], minlength=BUCKETS)
     return total
 
 
+def _rows(numbers: list[int], parts: list[str]):
+    lens = np.array([len(p) for p in parts])
+    ends = np.cumsum(lens)
+    c = _codes("".join(parts))
+    left = np.repeat(ends, lens) - np.arange(len(c))    # code points up to the text's end
+    for j, h in _hashed(c):
+        n = np.maximum(lens - j, 0)
+        held = n > 0
+        yield (np.array(numbers)[held], (np.cumsum(n) - n)[held], h[left[:len(h)] > j], None)
+
+
+def sparse_rows(texts: list[str], block: int = _BLOCK):
+    """The texts' gram counts as sparse rows, in blocks (text numbers, start of each one's entries,
+    buckets, counts): the grams of many texts, one order at a time and each a count of 1 (None),
+    or the summed counts of one text longer than ``block``. Empty texts have no entries. A text's
+    entries and their order don't depend on the texts beside it."""
+    numbers, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) > block:
+            counts = gram_counts(text)
+            ids = np.flatnonzero(counts)
+            yield np.array([i]), np.array([0]), ids, counts[ids]
+            continue
+        if size + len(text) > block:
+            yield from _rows(numbers, parts)
+            numbers, parts, size = [], [], 0
+        numbers.append(i)
+        parts.append(_normalised(text))
+        size += len(text)
+    if numbers:
+        yield from _rows(numbers, parts)
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # One slot past the buckets counts the documents.
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            # One slot past the buckets counts the documents.
-            v = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-            if text:
-                v[:-1] += gram_counts(text)
-            v[-1] += 1
+        labels = batch.column(0).to_pylist()
+        for lang in labels:
+            sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[-1] += 1
+        for numbers, starts, ids, counts in sparse_rows(batch.column(1).to_pylist()):
+            of = [labels[i] for i in numbers]
+            at = np.repeat(np.arange(len(of)), np.diff(np.append(starts, len(ids))))
+            for lang in dict.fromkeys(of):
+                its = np.array([x == lang for x in of])[at]
+                sums[lang][:-1] += np.bincount(
+                    ids[its], None if counts is None else counts[its], BUCKETS).astype(np.int64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.string()),
          pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
@@ -76,17 +135,20 @@ class Model:
         self.logp = np.log((grams + ALPHA) / total) if langs else np.zeros((0, BUCKETS))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        for text in texts:
-            if not text or not self.langs or not _LETTER.search(text):
-                langs.append(UND), scores.append(0.0)
-                continue
-            counts = gram_counts(text)
-            ids = np.flatnonzero(counts)
-            ll = self.logp[:, ids] @ counts[ids] + self.prior
-            p = np.exp(ll - ll.max())
-            best = int(p.argmax())
-            langs.append(self.langs[best]), scores.append(float(p[best] / p.sum()))
+        n = len(self.langs)
+        asked = [t if t and n and _LETTER.search(t) else None for t in texts]
+        ll = np.zeros((n, len(texts)))
+        # At most 4 million gathered values at once, unless one text alone has more.
+        for numbers, starts, ids, counts in sparse_rows(asked, min(_BLOCK, (4 << 20) // max(1, n))):
+            at = self.logp[:, ids]
+            ll[:, numbers] += np.add.reduceat(at if counts is None else at * counts, starts, axis=1)
+        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+        for i, text in enumerate(asked):
+            if text:
+                p = ll[:, i] + self.prior
+                p = np.exp(p - p.max())
+                best = int(p.argmax())
+                langs[i], scores[i] = self.langs[best], float(p[best] / p.sum())
         return langs, scores
 
 

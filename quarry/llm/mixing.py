@@ -130,7 +130,10 @@ def _block_of(place: Column | str) -> Column:
 
 
 def shard_map(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """s, block, shards (array: the shard of the block's 1st, 2nd, ... epoch)."""
+    """s, block, shards (array: the shard of the block's 1st, 2nd, ... epoch). The tree halves the
+    shards at each level, so ``shards`` is a power of two; others raise."""
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError(f"shards must be a power of two, not {shards}")
     last = F.when(F.col("cut") >= 0, _block_of(F.col("cut"))).otherwise(-1)
     per = sources.select("s", F.explode(F.sequence(F.lit(1), F.col("epochs") + 1))
                          .alias("epoch"), "epochs", last.alias("last"))

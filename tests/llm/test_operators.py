@@ -325,6 +325,56 @@ def test_language_id(spark, empty):
     assert langid.language_id(empty).count() == 0
 
 
+def test_language_rows_in_blocks_are_those_of_each_text(monkeypatch):
+    r = random.Random(5)
+    texts = ["", None, "x", "!"] + ["".join(r.choice("abcé ß,1") for _ in range(r.randint(1, 300)))
+                                    for _ in range(60)]
+    whole = [langid.gram_counts(t) if t else np.zeros(langid.BUCKETS, np.int64) for t in texts]
+    for block in (1, 40, 500, 1 << 16):     # every text by itself, some long, all in one block
+        got = np.zeros((len(texts), langid.BUCKETS), np.int64)
+        for numbers, starts, ids, counts in langid.sparse_rows(texts, block):
+            at = np.repeat(numbers, np.diff(np.append(starts, len(ids))))
+            np.add.at(got, (at, ids), 1 if counts is None else counts)
+        assert (got == np.array(whole)).all()
+    text = "".join(r.choice("abcé ß,1") for _ in range(350))
+    norm = " " + langid._GAP.sub(" ", text.lower()) + " "
+    assert langid.gram_counts(text).sum() == sum(len(norm) - j for j in range(3))
+    once = langid.gram_counts(text)
+    for size in (1, 2, 3, 50):
+        monkeypatch.setattr(langid, "_SEGMENT", size)
+        assert (langid.gram_counts(text) == once).all()
+
+
+def test_language_model_against_brute_force():
+    train = [("aa", "abc abd"), ("aa", "abb"), ("bb", "xyz xyy"), ("bb", None)]
+    v = {}
+    for lang, text in train:
+        c = v.setdefault(lang, np.zeros(langid.BUCKETS + 1, np.int64))
+        c[-1] += 1
+        c[:-1] += langid.gram_counts(text) if text else 0
+    model = langid.Model(sorted(v), np.array([v[x] for x in sorted(v)]))
+    texts = ["abc", "xyz abc xyz", None, "12", "", "abc", "ab" * 50_000]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        if not text or not any(x.isalpha() for x in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        ll = [float(sum(n * lp for n, lp in zip(langid.gram_counts(text).tolist(),
+                                                model.logp[i].tolist()) if n)) + model.prior[i]
+              for i in range(2)]
+        best = int(ll[1] > ll[0])
+        assert lang == model.langs[best]
+        assert abs(score - 1 / (1 + np.exp(min(ll) - max(ll)))) < 1e-9
+    assert scores[0] == scores[5]           # equal texts score alike
+    alone = [model.predict([t]) for t in texts]
+    assert [x[0][0] for x in alone] == langs and [x[1][0] for x in alone] == scores
+
+
+def test_mix_shards_are_a_power_of_two(spark):
+    with pytest.raises(ValueError, match="power of two"):
+        mixing.shard_map(spark.range(1), shards=10)
+
+
 def test_quality(spark, empty):
     r = random.Random(6)
     good = ["word%d" % i for i in range(40)]
