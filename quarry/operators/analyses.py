@@ -3,11 +3,12 @@
 Shared building blocks:
 * ``terms``: lower-cased letter/digit runs of a text;
 * ``sentences``: a text cut after ., ! or ? followed by whitespace;
-* ``tfidf``: (doc, term, tf, df, tfidf) with idf = ln(N / df). The per-term document
-  frequency is a partial aggregate. Joining it back is left to adaptive execution: the
-  vocabulary's shuffle is materialised first and AQE broadcasts it only when its measured
-  size is under the broadcast threshold (a runtime size check that costs no extra pass);
-  otherwise the join shuffles and AQE's skew join splits hot terms.
+* ``tfidf``: (doc, term, tf, df, tfidf) with idf = ln(N / df). Texts are cut into terms once: the
+  (doc, term, tf) counts are a written table. Document frequencies are partial aggregates over
+  it, joined back with hot terms salted (``weighted``).
+
+``filters`` (as in ``catalog.apply_filters``: file types and a date range) choose the documents of
+an analysis before anything else, so they reach the scan; all counts are then over these.
 """
 
 from __future__ import annotations
@@ -16,12 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PY_WS, col_, py_strip, words
+from quarry.operators.catalog import apply_filters
 from quarry.plans.ordered import lag_column, with_sequence
+from quarry.session import scratch_path
 
 TERM_SPLIT = r"[^\p{L}\p{N}]+"
 SENTENCE_END = rf"([.!?]){PY_WS}+"
 MARK = "\x01"
 RANK_DIGITS = 9
+#: Terms of over 1/HOT_SHARE of all (document, term) rows, and of over HOT_ROWS rows, are salted.
+HOT_SHARE = 1000
+HOT_ROWS = 100_000
 
 # Directive cues marking a recommendation (A8), matched on whole lower-cased
 # words, and two-word cues matched as phrases.
@@ -47,18 +53,47 @@ def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, F.explode(terms(text)).alias("term"))
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    n_docs = docs.count()
-    tf = doc_terms(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def weighted(tf: DataFrame, n_docs: int, key: str = "doc_id", hot_share: int = HOT_SHARE,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, term, tf, df, tfidf) of the counts ``tf`` (key, term, tf; read several times, so a
+    stored table). A term's rows are joined to its document frequency in one piece, or, where they
+    exceed both 1/``hot_share`` of all rows and ``hot_rows``, in as many salted pieces as keep
+    each within that size: no task holds a hot term. At most ``hot_share`` terms can be hot, so
+    their salts (a hash and a number each) are a broadcast of bounded size."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "term")  # AQE: broadcast only if the measured vocabulary is small
-    return joined.withColumn("tfidf", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
+    most = max(hot_rows, -(-tf.count() // hot_share))
+    hot = df.filter(F.col("df") > most).groupBy(F.xxhash64("term").alias("_h")).agg(
+        F.max(F.ceil(F.col("df") / most)).cast("int").alias("_n"))
+    hot = F.broadcast(hot)
+    pieces = F.coalesce("_n", F.lit(1))
+    left = (tf.withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
+            .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), pieces).cast("int"))
+            .drop("_h", "_n"))
+    right = (df.withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
+             .select("term", "df", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_salt")))
+    return left.join(right, ["term", "_salt"]).select(
+        key, "term", "tf", "df",
+        (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("tfidf"))
+
+
+def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_share: int = HOT_SHARE,
+          hot_rows: int = HOT_ROWS) -> DataFrame:
+    tf = _written(doc_terms(docs, key, text).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("tf")), "term-counts")
+    return weighted(tf, docs.count(), key, hot_share, hot_rows)
 
 
 def key_terms(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text",
-              subject: str | None = None) -> DataFrame:
+              subject: str | None = None, filters: dict | None = None) -> DataFrame:
     """A3: the ``n`` highest TF-IDF terms of each document (ties by term); with
     ``subject``, only documents that contain that term."""
+    docs = apply_filters(docs, filters)
     if subject:
         docs = docs.filter(F.array_contains(terms(text), subject.lower()))
     t = tfidf(docs, key, text)
@@ -69,28 +104,36 @@ def key_terms(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "tex
 
 
 def summarise(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text",
-              topic: str | None = None) -> DataFrame:
+              topic: str | None = None, filters: dict | None = None) -> DataFrame:
     """A1: extractive summary - the ``n`` sentences with the highest mean TF-IDF of their
-    terms, returned with their position so they read in the original order."""
+    terms, returned with their position so they read in the original order. ``key`` is unique.
+
+    Terms are counted per sentence once (a written table); the documents' counts are its sums, as
+    a term never spans two sentences. The texts are read again for the chosen positions only."""
+    docs = apply_filters(docs, filters)
     if topic:
         docs = docs.filter(F.array_contains(terms(text), topic.lower()))
-    weights = tfidf(docs, key, text).select(key, "term", "tfidf")
-    sents = docs.select(key, F.posexplode(sentences(text)).alias("pos", "sentence")).filter(
-        F.col("sentence") != "")
-    toks = sents.select(key, "pos", F.explode(terms("sentence")).alias("term"))
-    scored = toks.join(weights, [key, "term"]).groupBy(key, "pos").agg(
-        F.avg("tfidf").alias("score"))
+    cut = sentences(text)
+    per_sentence = _written(
+        docs.select(key, F.posexplode(cut).alias("pos", "sentence"))
+        .select(key, "pos", F.explode(terms("sentence")).alias("term"))
+        .groupBy(key, "pos", "term").agg(F.count(F.lit(1)).alias("m")), "sentence-terms")
+    tf = _written(per_sentence.groupBy(key, "term").agg(F.sum("m").alias("tf")), "term-counts")
+    weights = weighted(tf, docs.count(), key).select(key, "term", "tfidf")
+    scored = per_sentence.join(weights, [key, "term"]).groupBy(key, "pos").agg(
+        (F.sum(F.col("m") * F.col("tfidf")) / F.sum("m")).alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc(F.round("score", RANK_DIGITS)), "pos")
     top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    return top.join(sents, [key, "pos"]).select(
-        key, F.col("pos").cast("bigint").alias("pos"), "sentence",
+    return top.join(docs.select(key, cut.alias("_sentences")), key).select(
+        key, F.col("pos").cast("bigint").alias("pos"),
+        F.element_at("_sentences", F.col("pos") + 1).alias("sentence"),
         F.round("score", 6).alias("score"))
 
 
 def compare(docs: DataFrame, aspect: str, by: str, key: str = "doc_id",
-            text: str = "text") -> DataFrame:
+            text: str = "text", filters: dict | None = None) -> DataFrame:
     """A2: how often ``aspect`` occurs per group of ``by`` against the whole corpus."""
-    t = docs.select(key, by, F.explode(terms(text)).alias("term"))
+    t = apply_filters(docs, filters).select(key, by, F.explode(terms(text)).alias("term"))
     g = t.groupBy(by).agg(
         F.count_distinct(key).alias("n_docs"),
         F.count(F.lit(1)).alias("n_terms"),
@@ -119,10 +162,10 @@ def timeline(rows: DataFrame, match: Column, ts: str = "ts", tie: str = "event_i
 
 
 def technical_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                       term: str | None = None) -> DataFrame:
+                       term: str | None = None, filters: dict | None = None) -> DataFrame:
     """A5: versions, numbers with units and upper-case identifiers in sentences (that
     mention ``term``), one row per mention with its kind."""
-    sents = docs.select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
+    sents = apply_filters(docs, filters).select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
     if term:
         sents = sents.filter(F.array_contains(terms("sentence"), term.lower()))
     sents = sents.select(key, "pos", F.transform(words("sentence"), lambda w: F.regexp_replace(
@@ -152,9 +195,14 @@ def technical_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def sentiment(docs: DataFrame, lexicon: DataFrame, by: str, key: str = "doc_id",
-              text: str = "text") -> DataFrame:
+              text: str = "text", topic: str | None = None, filters: dict | None = None
+              ) -> DataFrame:
     """Document score = sum of lexicon polarities of its terms / number of terms;
-    per group: documents, mean, min and max score."""
+    per group: documents, mean, min and max score. With ``topic``, only documents that contain
+    that term."""
+    docs = apply_filters(docs, filters)
+    if topic:
+        docs = docs.filter(F.array_contains(terms(text), topic.lower()))
     t = docs.select(key, by, F.posexplode(terms(text)).alias("i", "term"))
     lex = lexicon.select(F.col("word").alias("term"), "polarity")  # AQE sizes the join
     scored = t.join(lex, "term", "left")

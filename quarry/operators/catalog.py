@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,10 +73,14 @@ def get_documents(catalog: DataFrame, filters: dict | None = None) -> DataFrame:
     return newest_first(apply_filters(catalog_view(catalog), filters))
 
 
-def save_documents(rows: DataFrame, now=None) -> DataFrame:
+def save_documents(rows: DataFrame, now=None, upload: Column | str | None = None) -> DataFrame:
     """Rows (filename, file_type, summary, metadata, total_chunks) → catalog rows.
     Status is 'processing' when total_chunks > 1, else 'completed'; processed_chunks 0;
-    a struct/map metadata becomes JSON, a string passes through."""
+    a struct/map metadata becomes JSON, a string passes through.
+
+    Rows without an ``id`` get a hash of filename, type, metadata and ``upload`` (a value, or a
+    column of values, that names the upload): a file uploaded again is another document, while a
+    retry under the same ``upload`` gives the same ids. Without ``upload``, equal files are one."""
     md = rows.schema["metadata"].dataType if "metadata" in rows.columns else T.StringType()
     meta = (F.col("metadata") if isinstance(md, T.StringType) else F.to_json("metadata")
             ) if "metadata" in rows.columns else F.lit(None).cast("string")
@@ -87,7 +91,9 @@ def save_documents(rows: DataFrame, now=None) -> DataFrame:
     created = F.coalesce(F.col("created_at").cast("timestamp_ntz"), ts) \
         if "created_at" in rows.columns else ts
     idcol = F.col("id").cast("bigint") if "id" in rows.columns else F.xxhash64(
-        "filename", F.coalesce(meta, F.lit("")))
+        "filename", F.coalesce(meta, F.lit("")), *(
+            [] if upload is None else [F.coalesce("file_type", F.lit("")), F.lit(upload)
+             if isinstance(upload, str) else upload.cast("string")]))
     return rows.select(
         idcol.alias("id"), "filename", "file_type",
         (F.col("summary") if "summary" in rows.columns else F.lit(None)).cast("string").alias("summary"),

@@ -108,6 +108,8 @@ def rtf_text(c, strip_control_words: bool = False) -> Column:
 # --- E10: image headers -----------------------------------------------------------------
 
 PNG_SIGNATURE = "89504E470D0A1A0A"
+JPEG_SIGNATURE = "FFD8"
+IMAGE_TYPES = ["png", "jpg", "jpeg"]
 
 
 def _be32(b: Column, pos: int) -> Column:
@@ -121,6 +123,13 @@ def png_dimensions(content) -> Column:
     return F.when(ok, F.struct(_be32(b, 17).alias("width"), _be32(b, 21).alias("height")))
 
 
+def image_kind(kind: Column, content) -> Column:
+    """``kind``, or for an image the type that its signature shows (png, jpg), if it shows one."""
+    head = F.hex(F.substring(col_(content), 1, 8))
+    return F.when(kind.isin(*IMAGE_TYPES) & (head == PNG_SIGNATURE), F.lit("png")).when(
+        kind.isin(*IMAGE_TYPES) & head.startswith(JPEG_SIGNATURE), F.lit("jpg")).otherwise(kind)
+
+
 def image_text(width: Column, height: Column, fmt: str) -> Column:
     return F.concat(F.lit("Image dimensions: ("), width.cast("string"), F.lit(", "),
                     height.cast("string"), F.lit(f"), format: {fmt}"))
@@ -277,9 +286,13 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
 
     The Arrow-batched parser receives the content only of rows whose type needs Python
     (NULL otherwise), so native rows never cross to the Python worker with their bytes and
-    the file contents are read once."""
+    the file contents are read once.
+
+    An image is read as what its first bytes say (a PNG named ``.jpg`` is a PNG), unless
+    ``extractors`` takes an image type; ``file_type`` stays the name's."""
     extractors = dict(extractors or {})
-    t = F.lower(F.col(type_col))
+    named = F.lower(F.col(type_col))
+    t = named if set(IMAGE_TYPES) & set(extractors) else image_kind(named, content)
     native_types = [x for x in NATIVE_TYPES if x not in extractors]
     py_types = [x for x in PYTHON_TYPES if x not in extractors] + list(extractors)
     parsers = {**PY_PARSERS, **extractors}
@@ -288,9 +301,10 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
     py = F.pandas_udf(_python_parse(parsers), "text string, error string")(
         t, F.when(t.isin(*py_types), F.col(content)))
     stage = files.select(
-        *keep, t.alias(type_col), F.col(content),
+        *keep, named.alias(type_col), t.alias("_kind"), F.col(content),
         F.when(is_text, decode_strict(content)).alias("_s"), py.alias("_py"))
-    s_, c_ = F.col("_s"), F.col(content)
+    s_, c_, t = F.col("_s"), F.col(content), F.col("_kind")
+    is_text = t.isin(*[x for x in ("txt", "md", "html", "htm") if x in native_types])
     png = png_dimensions(c_)
     native_text = (
         F.when(t == "txt", s_)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.catalog import apply_filters
+
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 MAX_BROADCAST_WINNERS = 2_000_000
 _PAIR_BUDGET = 4_000_000  # query × chunk distances held at once by one kernel call
@@ -87,14 +89,16 @@ def _query_blocks(queries: DataFrame, qkeys: list[str], vec: str, max_bytes: int
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, qkeys: list[str] | str = "qid",
            ids: list[str] | None = None, vec: str = "embedding", payload: list[str] | None = None,
            with_score: bool = False,
-           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """R2 (+R4 with ``with_score``, R8 for many queries): exact top-``k`` chunks per query by
-    squared Euclidean distance. Returns (*qkeys, rank, *ids, *payload, distance[, score])."""
+           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+           filters: dict | None = None) -> DataFrame:
+    """R2 (+R4 with ``with_score``, R8 for many queries, R3 with ``filters`` as in
+    ``apply_filters``): exact top-``k`` chunks per query by squared Euclidean distance. Returns (*qkeys, rank, *ids, *payload, distance[, score])."""
     qkeys = [qkeys] if isinstance(qkeys, str) else list(qkeys)
     ids = ids or ["doc_id", "pos"]
     payload = [c for c in (payload if payload is not None else chunks.columns)
                if c not in ids and c != vec]
     spark = chunks.sparkSession
+    chunks = apply_filters(chunks, filters)
     qsel = queries.select(*qkeys, vec).filter(F.col(vec).isNotNull())
     csel = chunks.select(*ids, vec)
     qtypes = {f.name: f.dataType for f in qsel.schema.fields}
@@ -142,12 +146,12 @@ def unique_union(results: DataFrame, keys: list[str], rank: str | None = "rank")
 
 def multi_query_search(variants: DataFrame, chunks: DataFrame, k: int = 5, qkey: str = "qid",
                        variant: str = "variant", ids: list[str] | None = None,
-                       vec: str = "embedding", content_keys: list[str] | None = None
-                       ) -> DataFrame:
+                       vec: str = "embedding", content_keys: list[str] | None = None,
+                       filters: dict | None = None) -> DataFrame:
     """Search every rewording of a question, union the results, keep each distinct
     (content, metadata) once per question at its best rank."""
     ids = ids or ["doc_id", "pos"]
-    res = search(variants, chunks, k, [qkey, variant], ids, vec)
+    res = search(variants, chunks, k, [qkey, variant], ids, vec, filters=filters)
     keys = [qkey] + (content_keys or [c for c in res.columns
                                       if c not in (qkey, variant, "rank", "distance")])
     return unique_union(res.drop(variant, "distance"), keys, "rank")

@@ -23,11 +23,23 @@ from quarry.operators.search import search, unique_union
 from quarry.session import checkpoint_dir
 
 
+def expand_query(questions: DataFrame, client: Callable[[str], str], question: str = "question",
+                 out: str = "expanded") -> DataFrame:
+    """The questions with ``out``, each question followed by the client's rewordings of it on
+    lines of their own, and ``reword_error``. A failed rewording leaves the question as it is; a
+    null question stays null and is not sent."""
+    asked = questions.withColumn("prompt", P.reword_prompt(question))
+    got = generate(asked, client, out="_rewordings")
+    text = F.when(F.col(question).isNotNull(), F.concat_ws("\n", question, "_rewordings"))
+    return got.select(*questions.columns, text.alias(out), F.col("error").alias("reword_error"))
+
+
 def ask(questions: DataFrame, index: DataFrame, embedder, client: Callable[[str], str],
-        k: int = 5, ids: list[str] | None = None) -> DataFrame:
+        k: int = 5, ids: list[str] | None = None, filters: dict | None = None) -> DataFrame:
     """Return (qid, question, answer, error, context, results) per valid question; invalid
     questions come back with their validation error and no answer. A failed rewording leaves the
-    question as it is and shows in ``error`` if the answer has none of its own."""
+    question as it is and shows in ``error`` if the answer has none of its own. ``filters`` (as in
+    ``apply_filters``) choose the chunks that are searched."""
     checkpoint_dir(questions.sparkSession)
     ids = ids or ["doc_id", "pos"]
     v = questions.withColumn("_v", validate_query("question"))
@@ -35,12 +47,11 @@ def ask(questions: DataFrame, index: DataFrame, embedder, client: Callable[[str]
         "qid", "question", F.lit(None).cast("string").alias("answer"),
         F.col("_v.error").alias("error"), F.lit(None).cast("string").alias("context"))
     valid = v.filter(F.col("_v.ok")).drop("_v")
-    reworded = generate(valid.withColumn("prompt", P.reword_prompt("question")), client,
-                        out="rewordings").drop("prompt").withColumnRenamed("error", "_reword_error")
-    expanded = reworded.withColumn("expanded", F.concat_ws("\n", "question", "rewordings"))
+    expanded = expand_query(valid, client).withColumnRenamed("reword_error", "_reword_error")
     qv = embed(expanded, embedder, text="expanded").select(
         "qid", "embedding", "_reword_error").checkpoint()
-    res = search(qv.select("qid", "embedding"), index, k=k, ids=ids, payload=["page_content", "filename"])
+    res = search(qv.select("qid", "embedding"), index, k=k, ids=ids, payload=["page_content", "filename"],
+                 filters=filters)
     uniq = unique_union(res.drop("distance"), ["qid", "page_content", "filename"], "rank")
     ctx = P.build_context(uniq, "qid")
     prompts = valid.join(ctx, "qid", "left").withColumn(

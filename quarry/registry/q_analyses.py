@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from quarry.operators import analyses as A
 from quarry.registry import duck as D
-from quarry.registry.oracle import oracle, with_
+from quarry.registry.oracle import CATALOG, oracle, with_
 from quarry.registry.queries import query
 from quarry.sources import derived
 from quarry.sources.tables import table
 
 ASPECT = "the"
 RANGE = ("2024-01-01 00:00:00", "2024-12-31 23:59:59")
+TYPES = ["pdf", "md", "html"]
+DATES = {"start": "2024-01-03 05:00:00", "end": "2024-02-20 12:00:00"}
 
 
 def terms_sql(x: str) -> str:
@@ -37,6 +39,13 @@ SENTS_SQL = f"""sents AS (
     FROM (SELECT doc_id, {sentences_sql('text')} AS a_ FROM documents))"""
 
 
+LEXICON_SQL = f"""lex AS (
+        SELECT word, CASE WHEN rn % 2 = 1 THEN 1 ELSE -1 END AS polarity FROM (
+          SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn FROM (
+            SELECT term AS word, count(*) AS n FROM (SELECT unnest({terms_sql('text')}) AS term
+            FROM documents) GROUP BY term)) WHERE rn <= 40)"""
+
+
 def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
@@ -144,11 +153,7 @@ def a6(spark, sf):
 
 @oracle("a6_sentiment")
 def a6_sql():
-    return with_(f"""lex AS (
-        SELECT word, CASE WHEN rn % 2 = 1 THEN 1 ELSE -1 END AS polarity FROM (
-          SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn FROM (
-            SELECT term AS word, count(*) AS n FROM (SELECT unnest({terms_sql('text')}) AS term
-            FROM documents) GROUP BY term)) WHERE rn <= 40)""",
+    return with_(LEXICON_SQL,
                  f"""t AS (SELECT d.doc_id, l.quality, unnest({terms_sql('d.text')}) AS term
         FROM documents d LEFT JOIN labels l USING (doc_id))""", """pd AS (
         SELECT doc_id, quality, sum(coalesce(polarity, 0)) / count(*) AS score
@@ -209,3 +214,98 @@ def a8_sql():
     return with_(SENTS_SQL) + f"""
     SELECT doc_id, pos, sentence FROM sents
     WHERE list_has_any({terms_sql('sentence')}, {words}) OR {phrases}"""
+
+
+# --- analyses of chosen file types and dates ----------------------------------------------
+
+def _dated(spark, sf):
+    cat = derived.catalog(spark, sf).select(F.col("id").alias("doc_id"), "file_type", "created_at")
+    return _docs(spark, sf).join(cat, "doc_id")
+
+
+def _chosen_sql(types=True, dates=True, term=None):
+    """The CTE ``chosen`` (doc_id, text, file_type) and the rules that pick its documents; materialised,
+    as DuckDB fails on the inlined join."""
+    rules = []
+    if types:
+        rules.append("c.file_type IN (" + ", ".join(D.q(t) for t in TYPES) + ")")
+    if dates:
+        rules.append(f"c.created_at BETWEEN TIMESTAMP '{DATES['start']}' AND "
+                     f"TIMESTAMP '{DATES['end']}'")
+    if term:
+        rules.append(f"list_contains({terms_sql('d.text')}, {D.q(term)})")
+    return CATALOG + f""", chosen AS MATERIALIZED (SELECT d.doc_id, d.text, c.file_type FROM documents d
+        JOIN catalog c ON c.id = d.doc_id WHERE {' AND '.join(rules)})"""
+
+
+def _of_chosen(sql: str) -> str:
+    return sql.replace("FROM documents", "FROM chosen")
+
+
+@query("a1_summarise_chosen")
+def a1_chosen(spark, sf):
+    return A.summarise(_dated(spark, sf), n=2, topic=ASPECT, filters={"date_range": DATES})
+
+
+@oracle("a1_summarise_chosen")
+def a1_chosen_sql():
+    rest = _of_chosen(a1_sql().removeprefix("WITH ")).replace("r_ <= 3", "r_ <= 2")
+    return with_(_chosen_sql(types=False, term=ASPECT), rest)
+
+
+@query("a2_compare_chosen")
+def a2_chosen(spark, sf):
+    return A.compare(_dated(spark, sf), ASPECT, "file_type", filters={"date_range": DATES})
+
+
+@oracle("a2_compare_chosen")
+def a2_chosen_sql():
+    return with_(_chosen_sql(types=False), f"""t AS (
+        SELECT doc_id, file_type, unnest({terms_sql('text')}) AS term FROM chosen)""", f"""g AS (
+        SELECT file_type, count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms,
+               CAST(sum(CASE WHEN term = '{ASPECT}' THEN 1 ELSE 0 END) AS BIGINT) AS n_aspect
+        FROM t GROUP BY file_type)""") + """
+    SELECT file_type, n_docs, n_terms, n_aspect, round(n_aspect / n_terms, 6) AS rate,
+           round(sum(n_aspect) OVER () / sum(n_terms) OVER (), 6) AS overall_rate,
+           round(n_aspect / n_terms - sum(n_aspect) OVER () / sum(n_terms) OVER (), 6) AS diff
+    FROM g"""
+
+
+@query("a3_key_terms_chosen")
+def a3_chosen(spark, sf):
+    return A.key_terms(_dated(spark, sf), n=5, subject=ASPECT, filters={"file_type": TYPES})
+
+
+@oracle("a3_key_terms_chosen")
+def a3_chosen_sql():
+    return with_(_chosen_sql(dates=False, term=ASPECT), _of_chosen(TFIDF_SQL)) + """
+    SELECT doc_id, rank, term, tf, round(tfidf, 6) AS tfidf FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 9) DESC, term)
+                     AS BIGINT) AS rank FROM tfidf) WHERE rank <= 5"""
+
+
+@query("a5_technical_chosen")
+def a5_chosen(spark, sf):
+    return A.technical_mentions(_dated(spark, sf), filters={"file_type": TYPES})
+
+
+@oracle("a5_technical_chosen")
+def a5_chosen_sql():
+    return with_(_chosen_sql(dates=False), _of_chosen(a5_sql().removeprefix("WITH ")))
+
+
+@query("a6_sentiment_chosen")
+def a6_chosen(spark, sf):
+    return A.sentiment(_dated(spark, sf), derived.lexicon(spark, sf), "file_type", topic=ASPECT,
+                       filters={"date_range": DATES})
+
+
+@oracle("a6_sentiment_chosen")
+def a6_chosen_sql():
+    return with_(_chosen_sql(types=False, term=ASPECT), LEXICON_SQL, f"""t AS (
+        SELECT doc_id, file_type, unnest({terms_sql('text')}) AS term FROM chosen)""", """pd AS (
+        SELECT doc_id, file_type, sum(coalesce(polarity, 0)) / count(*) AS score
+        FROM t LEFT JOIN lex ON lex.word = t.term GROUP BY doc_id, file_type)""") + """
+    SELECT file_type, count(*) AS n_docs, round(avg(score), 6) AS mean_score,
+           round(min(score), 6) AS min_score, round(max(score), 6) AS max_score
+    FROM pd GROUP BY file_type"""

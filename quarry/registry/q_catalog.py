@@ -247,6 +247,22 @@ def s8_sql():
     return with_(CATALOG) + f"SELECT {CATALOG_COLS} FROM catalog"
 
 
+@query("s8_repeated_uploads")
+def s8_uploads(spark, sf):
+    """The documents uploaded twice, the second upload written twice (a retry): two ids a file."""
+    rows = _save_rows(spark, sf).drop("id")
+    first, second = (C.save_documents(rows, upload=x) for x in ("monday", "tuesday"))
+    kept = first.unionByName(second).unionByName(second)
+    return kept.groupBy("filename").agg(F.count(F.lit(1)).alias("n_rows"),
+                                        F.count_distinct("id").alias("n_ids"))
+
+
+@oracle("s8_repeated_uploads")
+def s8_uploads_sql():
+    return with_(CATALOG) + """SELECT filename, 3 * count(*) AS n_rows,
+        2 * count(DISTINCT (file_type, metadata)) AS n_ids FROM catalog GROUP BY filename"""
+
+
 @query("s7_create_catalog")
 def s7(spark, sf):
     path = scratch_path(spark, "catalog")

@@ -260,6 +260,36 @@ def e10_sql():
                      CAST(NULL AS VARCHAR) AS error FROM documents"""
 
 
+@query("e10_image_by_bytes")
+def e10_bytes(spark, sf):
+    """Images under names of any image type, and texts under such names."""
+    d = _docs(spark, sf)
+    w = F.col("doc_id") % 640 + 1
+    h = F.octet_length("text") % 480 + 1
+    png = F.unhex(F.concat(F.lit(X.PNG_SIGNATURE + "0000000D49484452"), _hex4(w, 8), _hex4(h, 8),
+                           F.lit("0802000000" + "00000000")))
+    jpg = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"),
+                           _hex4(h, 4), _hex4(w, 4), F.lit("03012200021101031101FFD9")))
+    name = F.element_at(F.array(*[F.lit(x) for x in X.IMAGE_TYPES]),
+                        (F.col("doc_id") % 3 + 1).cast("int"))
+    files = d.select("doc_id", name.alias("file_type"), F.when(
+        F.col("doc_id") % 11 == 0, F.concat(F.lit("#"), F.col("text")).cast("binary")).when(
+        F.col("doc_id") % 2 == 0, png).otherwise(jpg).alias("content"))
+    return X.extract_text(files).select("doc_id", "file_type", "text", "error")
+
+
+@oracle("e10_image_by_bytes")
+def e10_bytes_sql():
+    names = "['png', 'jpg', 'jpeg'][doc_id % 3 + 1]"
+    return f"""SELECT doc_id, {names} AS file_type,
+        CASE WHEN doc_id % 11 <> 0 THEN 'Image dimensions: (' || CAST(doc_id % 640 + 1 AS VARCHAR) ||
+             ', ' || CAST(strlen(text) % 480 + 1 AS VARCHAR) || '), format: ' ||
+             CASE WHEN doc_id % 2 = 0 THEN 'PNG' ELSE 'JPEG' END END AS text,
+        CASE WHEN doc_id % 11 = 0 THEN 'Error processing ' || {names} || CASE WHEN doc_id % 3 = 0
+             THEN ': not a PNG file' ELSE ': ValueError: not a JPEG file' END END AS error
+        FROM documents"""
+
+
 # --- E11 / E12 ---------------------------------------------------------------------------
 
 def form_feed_pages(data: bytes) -> list[str]:
