@@ -5,13 +5,14 @@ inside a cell, by blocks of about ``BLOCK_ROWS`` rows (a hash of the ids), plus
 per cell: centre, radius (largest distance to the centre), rows, blocks. ``search_cells`` then
 
 1. lists the cells of each query in tasks over the queries: no query passes through the driver.
-   Exact search takes every cell that the triangle inequality cannot rule out: ``tau`` is the
-   distance within which the cells hold ``k`` rows for certain, and a cell whose nearest possible
-   point lies beyond it is skipped. Approximate search takes the ``n_probe`` nearest ones, and
-   further ones until they hold ``k`` rows;
-2. joins queries and rows on (cell, block, query block). The rows are read from the probed cells only
-   (dynamic partition pruning); a large cell is many blocks, so many tasks, and a cell probed by all
-   queries is split by query block too. A task holds one block of each side;
+   Exact search first searches the nearest cells that hold ``k`` rows; the distance of the k-th one is
+   ``tau``. Then it takes every cell that may hold a nearer row: one whose ball, and whose side of the
+   plane between its centre and the query's own, come within ``tau``. Approximate search takes the
+   ``n_probe`` nearest ones, and further ones until they hold ``k`` rows;
+2. joins queries and rows on (unit, block, query block). Small neighbouring cells are one unit of up to
+   ``UNIT_ROWS`` rows, so a query that probes many cells is sent to few units. The rows are read from
+   the probed cells only (dynamic partition pruning); a large cell is many blocks, so many tasks, and a
+   unit has as many query blocks as its own queries fill. A task holds one block of each side;
 3. keeps the best ``k`` rows per query and block, then per query: Spark's group limit cuts each
    task's rows before the shuffle.
 
@@ -38,16 +39,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.catalog import apply_filters
-from quarry.operators.search import MAX_BROADCAST_WINNERS, _round6
+from quarry.operators.search import (MAX_BROADCAST_WINNERS, Nearest, _find_centres, _rows_of, matrix,
+                                     nearest_centre)
+from quarry.session import scratch_path
 
 MAX_CELLS = 16_384        # folders of an index; larger tables get more blocks a cell
 BLOCK_ROWS = 4_096        # rows of a cell that one task holds
-QUERY_BLOCK = 1_024       # queries that one task holds
-FIT_ROWS = 1_000_000      # rows (by hash share) from which the centres are found
+UNIT_ROWS = 16_384        # rows of neighbouring cells that one task holds
+QUERY_BLOCK = 16_384      # queries that one task holds
+FIT_ROWS = 1_000_000      # rows (by hash share) from which the centres are found, at most
+FIT_PER_CELL = 64         # and so many a cell
+SEED_CELLS = 256          # up to so many centres start as k-means||, more from random rows
 MAX_CENTRE_BYTES = 256 * 1024 * 1024
-MAX_BROADCAST_PROBES = 2_000_000
 SAMPLE = 256              # queries searched exactly to choose the number of probed cells
-RESERVED = ("cell", "block", "_qb", "_d")
+RESERVED = ("cell", "block", "unit", "_qb", "_d", "_limit")
 
 
 @dataclass(frozen=True)
@@ -72,6 +77,26 @@ def usable(vec: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & fine
 
 
+def _gap_kernel(bc, vec: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = matrix(pdf[vec]).astype(np.float64)
+                own = nearest_centre(x, bc.value)
+                gap = np.sqrt(((x - bc.value[own]) ** 2).sum(1))
+                yield pd.DataFrame({"cell": own, "gap": gap})
+    return run
+
+
+def _cell_udf(bc):
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int32")
+        return pd.Series(nearest_centre(matrix(vectors).astype(np.float64), bc.value))
+    return cell
+
+
 def write_cells(chunks: DataFrame, path: str, ids: list[str] | None = None,
                 vec: str = "embedding", n_cells: int | None = None, seed: int = 7,
                 max_iter: int = 20, block_rows: int = BLOCK_ROWS) -> CellIndex:
@@ -82,8 +107,11 @@ def write_cells(chunks: DataFrame, path: str, ids: list[str] | None = None,
     if clash:
         raise ValueError(f"rename the columns {clash}: an index has its own")
     index = CellIndex(path.rstrip("/"), tuple(ids), vec)
-    # Centres, statistics and rows read the same rows: materialise them in the shared folder.
-    data = chunks.filter(usable(vec)).checkpoint()
+    # Centres, statistics and rows read the same rows: write them once to the shared folder.
+    stored = scratch_path(chunks.sparkSession, "cell-rows")
+    fine = chunks.filter(usable(vec))
+    fine.write.parquet(stored)
+    data = chunks.sparkSession.read.schema(fine.schema).parquet(stored)
     n = data.count()
     if n == 0:
         (data.withColumn("block", F.lit(0).cast("bigint")).withColumn("cell", F.lit(0))
@@ -92,22 +120,21 @@ def write_cells(chunks: DataFrame, path: str, ids: list[str] | None = None,
             f"{index.path}/cells")
         return index
     # Centres are fitted on a share that the ids' hash chooses, the same on every run.
-    share = min(1.0, FIT_ROWS / n)
-    fit = data if share == 1.0 else data.filter(
-        F.pmod(F.xxhash64(*ids), F.lit(1_000_000)) < int(share * 1_000_000))
     k = max(2, n_cells or min(MAX_CELLS, int(math.sqrt(n))))     # two centres at least
-    to_v = array_to_vector(F.col(vec))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell").fit(
-        fit.select(to_v.alias("_v")))
+    share = min(1.0, min(FIT_ROWS, FIT_PER_CELL * k) / n)
+    fit = data if share == 1.0 or n <= FIT_PER_CELL * SEED_CELLS else data.filter(
+        F.pmod(F.xxhash64(*ids), F.lit(1_000_000)) < int(share * 1_000_000))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell",
+                   initMode="k-means||" if k <= SEED_CELLS else "random").fit(
+        fit.select(array_to_vector(F.col(vec)).alias("_v")))
     spark = data.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in
-                                     enumerate(model.clusterCenters())],
+    found = np.array(model.clusterCenters(), dtype=np.float64)
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)],
                                     "cell int, centre array<double>")
-    placed = model.transform(data.withColumn("_v", to_v)).drop("_v")
-    gap = F.sqrt(F.aggregate(F.zip_with(vec, "centre", lambda a, b: (a - b) * (a - b)),
-                             F.lit(0.0), lambda s, x: s + x))
-    stats = placed.join(centres, "cell").groupBy("cell").agg(
-        F.max(gap).alias("radius"), F.count(F.lit(1)).alias("n"))
+    bc = spark.sparkContext.broadcast(found)
+    stats = data.select(vec).mapInPandas(_gap_kernel(bc, vec), "cell int, gap double").groupBy(
+        "cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
+    placed = data.withColumn("cell", _cell_udf(bc)(F.col(vec)))
     (centres.join(stats, "cell")
      .withColumn("n_blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("bigint"))
      .select(*[f.name for f in _CELLS.fields])
@@ -138,7 +165,23 @@ def _centres(spark: SparkSession, index: CellIndex, rows: DataFrame | None = Non
         cells = cells.drop("n").join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
     pdf = cells.orderBy("cell").toPandas()
     mat = np.stack(pdf["centre"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-    return pdf["cell"].to_numpy(), mat, pdf["radius"].to_numpy(), pdf["n"].to_numpy()
+    return (pdf["cell"].to_numpy(), mat, pdf["radius"].to_numpy(), pdf["n"].to_numpy(),
+            pdf["n_blocks"].to_numpy())
+
+
+def _units(centres: np.ndarray, counts: np.ndarray, n_blocks: np.ndarray) -> np.ndarray:
+    """The unit of each cell: neighbouring cells of one block share one, up to ``UNIT_ROWS`` rows."""
+    m = len(centres)
+    if not m:
+        return np.zeros(0, np.int64)
+    near = nearest_centre(centres, _find_centres(centres, max(1, math.isqrt(m))))
+    unit, out, held = 0, np.zeros(m, np.int64), 0
+    for i in np.lexsort([near, n_blocks > 1]):
+        if held and (n_blocks[i] > 1 or held + counts[i] > UNIT_ROWS):
+            unit, held = unit + 1, 0
+        out[i] = unit
+        held += counts[i]
+    return out
 
 
 def _distances(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -146,18 +189,25 @@ def _distances(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0.0))
 
 
-def _reachable(q, centres, radius, counts, k) -> np.ndarray:
-    """Cells (a row of booleans per query) that may hold one of the ``k`` nearest rows."""
+def _reachable(q, centres, radius, counts, k, limit) -> np.ndarray:
+    """Cells (a row of booleans per query) that may hold one of the ``k`` nearest rows, the k-th of
+    which is within the squared distance ``limit`` (infinite if it isn't known)."""
     d = _distances(q, centres)
     slack = 1e-6 * (1.0 + np.sqrt((q ** 2).sum(1))[:, None] + radius[None, :] + d)
     far = d + radius[None, :] + slack
     order = np.argsort(far, axis=1, kind="stable")
     full = np.cumsum(counts[order], axis=1) >= k
     at = np.where(full.any(1), full.argmax(1), len(centres) - 1)
-    tau = far[np.arange(len(q)), order[np.arange(len(q)), at]]
+    tau = np.minimum(far[np.arange(len(q)), order[np.arange(len(q)), at]] ** 2, limit)
     near = np.maximum(d - radius[None, :] - slack, 0.0)
+    # A cell's rows lie on its side of the plane between its centre and the query's nearest one.
+    own = d.argmin(1)
+    gap = _distances(centres[own], centres)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d ** 2 - d[np.arange(len(q)), own][:, None] ** 2) / (2.0 * gap) - slack
+    near = np.maximum(near, np.where(gap > 1e-3 * (1.0 + d), plane, 0.0))
     # Ranks are by squares rounded to 6 digits: rows that tie after rounding stay reachable.
-    return near ** 2 <= tau[:, None] ** 2 + 2e-6
+    return near ** 2 <= tau[:, None] + 2e-6
 
 
 def _nearest(q, centres, counts, k, n_probe) -> np.ndarray:
@@ -172,7 +222,7 @@ def _nearest(q, centres, counts, k, n_probe) -> np.ndarray:
 
 def _probe_kernel(bc, vec: str, k: int, n_probe: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, centres, radius, counts = bc.value
+        cells, centres, radius, counts, units = bc.value
         step = max(1, 1_000_000 // max(1, len(cells)))
         for pdf in batches:
             for lo in range(0, len(pdf), step):
@@ -180,21 +230,29 @@ def _probe_kernel(bc, vec: str, k: int, n_probe: int | None):
                 if not len(cells):
                     continue
                 q = np.stack(part[vec].to_numpy()).astype(np.float64)
-                take = (_reachable(q, centres, radius, counts, k) if n_probe is None
-                        else _nearest(q, centres, counts, k, n_probe))
-                yield part.assign(_cells=[cells[row].tolist() for row in take])
+                take = (_reachable(q, centres, radius, counts, k, part["_limit"].to_numpy())
+                        if n_probe is None else _nearest(q, centres, counts, k, n_probe))
+                yield part.assign(_cells=[cells[row].tolist() for row in take],
+                                  _units=[np.unique(units[row]).tolist() for row in take])
     return run
 
 
 def probes(queries: DataFrame, index: CellIndex, k: int, qkeys: list[str], vec: str,
-           n_probe: int | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """(*qkeys, vec, _cells): the cells that each query reads; all reachable ones by default.
-    ``rows``: the index's filtered rows, if it is searched under a filter."""
+           n_probe: int | None = None, rows: DataFrame | None = None,
+           limits: DataFrame | None = None, table: tuple | None = None) -> DataFrame:
+    """(*qkeys, vec, _limit, _cells, _units): the cells that each query reads, and their units; all
+    reachable cells by default. ``rows``: the index's filtered rows, if it is searched under a filter.
+    ``limits`` (*qkeys, _limit): squared distances within which the k-th row lies."""
     spark = queries.sparkSession
     q = queries.select(*qkeys, vec).filter(usable(vec)).dropDuplicates(qkeys)
-    bc = spark.sparkContext.broadcast(_centres(spark, index, rows))
+    q = (q.withColumn("_limit", F.lit(float("inf"))) if limits is None else
+         q.join(limits, qkeys, "left").withColumn("_limit", F.coalesce("_limit", F.lit(float("inf")))))
+    cells, centres, radius, counts, n_blocks = table or _centres(spark, index, rows)
+    bc = spark.sparkContext.broadcast((cells, centres, radius, counts,
+                                       _units(centres, counts, n_blocks)))
     schema = T.StructType(list(q.schema.fields)
-                          + [T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+                          + [T.StructField("_cells", T.ArrayType(T.IntegerType())),
+                             T.StructField("_units", T.ArrayType(T.LongType()))])
     return q.mapInPandas(_probe_kernel(bc, vec, k, n_probe), schema)
 
 
@@ -203,60 +261,70 @@ def _block_kernel(qkeys: list[str], ids: list[str], qvec: str, vec: str, k: int)
         cols = [*qkeys, *ids, "cell", "_d"]
         if q.empty or c.empty:
             return pd.DataFrame({name: [] for name in cols})
-        c = c.sort_values(ids, kind="mergesort")
-        qm = np.stack(q[qvec].to_numpy()).astype(np.float64)
-        cm = np.stack(c[vec].to_numpy()).astype(np.float64)
-        qn, cn = (qm ** 2).sum(1), (cm ** 2).sum(1)
-        d = qn[:, None] + cn[None, :] - 2.0 * (qm @ cm.T)
-        kk = min(k, len(cm))
-        cut = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        # More than the k nearest by the fast sum, decided by the sum of the differences.
-        qi, ci = np.nonzero(d <= (cut + 2e-6 + 1e-12 * (qn + cn.max()))[:, None])
-        exact = np.concatenate([((qm[qi[i:i + 65536]] - cm[ci[i:i + 65536]]) ** 2).sum(1)
-                                for i in range(0, len(qi), 65536)])
-        order = np.lexsort((ci, _round6(exact), qi))
-        qi, ci, exact = qi[order], ci[order], exact[order]
-        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-        qi, ci = qi[keep], ci[keep]
+        c, x = _rows_of(c, ids, vec, k)
+        best = Nearest(matrix(q[qvec]).astype(np.float64), q["_limit"].to_numpy(dtype=np.float64), k,
+                       len(ids) + 1)
+        best.score(np.arange(len(q)), x, [c[name].to_numpy() for name in [*ids, "cell"]])
+        qi, d, *found = best.cut()
         out = {name: q[name].to_numpy()[qi] for name in qkeys}
-        out.update({name: c[name].to_numpy()[ci] for name in ids})
-        return pd.DataFrame({**out, "cell": c["cell"].to_numpy()[ci], "_d": exact[keep]})
+        return pd.DataFrame({**out, **dict(zip([*ids, "cell"], found)), "_d": d})
     return run
 
 
-def _top(probed: DataFrame, rows: DataFrame, index: CellIndex, k: int, qkeys: list[str], vec: str
-         ) -> tuple[DataFrame, int]:
+def _top(probed: DataFrame, rows: DataFrame, index: CellIndex, k: int, qkeys: list[str], vec: str,
+         table: tuple) -> tuple[DataFrame, int]:
     """The ``k`` nearest rows of each query among its cells: (*qkeys, *ids, cell, _d, rank), and
     the number of queries."""
     spark, ids = probed.sparkSession, list(index.ids)
-    probed = probed.checkpoint()        # read for both sides of the join
+    path = scratch_path(spark, "probed")        # read for both sides of the join
+    probed.write.parquet(path)
+    probed = spark.read.schema(probed.schema).parquet(path)
     n = probed.count()
-    qb = F.pmod(F.xxhash64(*qkeys), F.lit(max(1, math.ceil(n / QUERY_BLOCK))))
-    qvec = "_qvec"
-    pairs = probed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(qkeys)],
-                          F.col(vec).alias(qvec), qb.alias("_qb"),
-                          F.explode("_cells").alias("cell"))
+    cells, centres, _, counts, n_blocks = table
+    unit = spark.createDataFrame(
+        [(int(c), int(u), int(b)) for c, u, b in zip(cells, _units(centres, counts, n_blocks), n_blocks)],
+        "cell int, unit long, n_blocks long")
+    busy = probed.select(F.explode("_units").alias("unit")).groupBy("unit").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("bigint").alias("n_qb"))
+    # A row per unit, MAX_CELLS at most.
+    busy = F.broadcast(busy.join(F.broadcast(unit.groupBy("unit").agg(
+        F.max("n_blocks").alias("n_blocks"))), "unit").checkpoint())
+    qvec, zero = "_qvec", F.lit(0).cast("bigint")
     keys = [f"_k{i}" for i in range(len(qkeys))]
-    wanted = pairs.select("cell", "_qb").distinct().checkpoint()
-    small = wanted.count() <= MAX_BROADCAST_PROBES
+    left = (probed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(qkeys)],
+                          F.col(vec).alias(qvec), "_limit", F.explode("_units").alias("unit"))
+            .join(busy, "unit")
+            .select(*keys, qvec, "_limit", "unit",
+                    F.pmod(F.xxhash64(*keys), F.col("n_qb")).alias("_qb"),
+                    F.explode(F.sequence(zero, F.col("n_blocks") - 1)).alias("block")))
+    wanted = probed.select(F.explode("_cells").alias("cell")).distinct().checkpoint()
     # The filter makes the read of the rows prune its folders by the broadcast cells.
-    side = wanted.filter(F.col("cell") >= 0)
-    right = rows.select(*ids, index.vec, "cell", "block").join(
-        F.broadcast(side) if small else side, "cell")
-    blocks = F.broadcast(index.cells(spark).select("cell", "n_blocks"))
-    left = pairs.join(blocks, "cell").select(
-        *keys, qvec, "cell", "_qb",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"))
-    types = {f.name: f.dataType for f in [*pairs.schema.fields, *right.schema.fields]}
+    right = (rows.select(*ids, index.vec, "cell", "block")
+             .join(F.broadcast(wanted.filter(F.col("cell") >= 0)), "cell")
+             .join(F.broadcast(unit.drop("n_blocks")), "cell").join(busy, "unit")
+             .select(*ids, index.vec, "cell", "unit", "block",
+                     F.explode(F.sequence(zero, F.col("n_qb") - 1)).alias("_qb")))
+    types = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
     schema = T.StructType([T.StructField(c, types[c]) for c in [*keys, *ids, "cell"]]
                           + [T.StructField("_d", T.DoubleType())])
-    part = (left.groupBy("cell", "block", "_qb").cogroup(right.groupBy("cell", "block", "_qb"))
+    part = (left.groupBy("unit", "block", "_qb").cogroup(right.groupBy("unit", "block", "_qb"))
             .applyInPandas(_block_kernel(keys, ids, qvec, index.vec, k), schema))
     w = Window.partitionBy(*keys).orderBy(F.floor(F.col("_d") * 1e6 + 0.5), *ids)
     top = part.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
     return top, n
 
 
+def _exact(queries: DataFrame, rows: DataFrame, index: CellIndex, k: int, qkeys: list[str], vec: str,
+           table: tuple) -> tuple[DataFrame, int]:
+    """``_top`` among all cells that may hold one of the ``k`` nearest rows."""
+    near, _ = _top(probes(queries, index, k, qkeys, vec, 1, table=table), rows, index, k, qkeys, vec,
+                   table)
+    limits = near.filter(F.col("rank") == k).select(
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(qkeys)], F.col("_d").alias("_limit"))
+    return _top(probes(queries, index, k, qkeys, vec, limits=limits, table=table), rows, index, k,
+                qkeys, vec, table)
+
+
 def measured_probes(queries: DataFrame, index: CellIndex, k: int, qkeys: list[str] | str = "qid",
                     vec: str | None = None, recall: float = 0.9) -> int:
     """The least number of nearest cells that holds a share ``recall`` of the true neighbours of
@@ -266,7 +334,8 @@ def measured_probes(queries: DataFrame, index: CellIndex, k: int, qkeys: list[st
     some = (queries.select(*qkeys, vec).filter(usable(vec)).dropDuplicates(qkeys)
             .orderBy(F.xxhash64(*qkeys)).limit(SAMPLE + 1).checkpoint())
     n = some.count()
-    top, _ = _top(probes(some, index, k, qkeys, vec), index.rows(spark), index, k, qkeys, vec)
+    table = _centres(spark, index)
+    top, _ = _exact(some, index.rows(spark), index, k, qkeys, vec, table)
     hits = top.groupBy(*[f"_k{i}" for i in range(len(qkeys))]).agg(
         F.collect_list("cell").alias("_hits"))                       # k cells
     for i, c in enumerate(qkeys):
@@ -274,7 +343,7 @@ def measured_probes(queries: DataFrame, index: CellIndex, k: int, qkeys: list[st
     pdf = some.join(hits, qkeys).select(vec, "_hits").toPandas()     # SAMPLE queries
     if pdf.empty:
         return 1
-    cells, centres, _, _ = _centres(spark, index)
+    cells, centres = table[:2]
     at, places = {c: i for i, c in enumerate(cells)}, []
     for v, found in zip(pdf[vec], pdf["_hits"]):
         order = np.argsort(_distances(np.asarray(v, np.float64)[None, :], centres)[0], kind="stable")
@@ -299,8 +368,10 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int = 5, qkeys: list[s
     payload = [c for c in payload or [] if c not in ids]
     if filters:
         rows = apply_filters(rows, filters)
-    probed = probes(queries, index, k, qkeys, vec, n_probe, rows if filters else None)
-    top, n = _top(probed, rows, index, k, qkeys, vec)
+    table = _centres(spark, index, rows if filters else None)
+    top, n = (_exact(queries, rows, index, k, qkeys, vec, table) if n_probe is None else
+              _top(probes(queries, index, k, qkeys, vec, n_probe, table=table), rows, index, k, qkeys,
+                   vec, table))
     if payload:
         winners = F.broadcast(top) if n * k <= MAX_BROADCAST_WINNERS else top
         top = rows.select("cell", *ids, *payload).join(winners, ["cell", *ids])
