@@ -2,7 +2,8 @@
 
 Cells come from Spark ML k-means on the chunk vectors (distributed training). Each query is
 sent only to its nearest cells: the query block (size-checked, broadcast) carries its probe
-list, and the chunk kernel scores a batch's rows only against the queries that probe their cell.
+list, and the chunk kernel scores a batch's rows only against the queries that probe their cell, by
+the kernel of the exact search. The chunks are written in the order of their cells.
 How many cells are probed follows from the index: an exact search of a sample of the queries
 shows how far down their lists of cells the true neighbours lie, and the least number of cells
 that holds the wanted share of them is taken (``n_probe`` at least). A query whose cells hold
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.search import _round6, search
+from quarry.operators.cells import (FIT_PER_CELL, FIT_ROWS, SEED_CELLS, _cell_udf, usable)
+from quarry.operators.search import Nearest, _rows_of, search
+from quarry.session import scratch_path
 
 RECALL = 0.9
 _SAMPLE = 256             # queries searched exactly to choose the number of cells
@@ -31,47 +34,43 @@ _SAMPLE = 256             # queries searched exactly to choose the number of cel
 
 def build_ivf(chunks: DataFrame, vec: str = "embedding", n_cells: int | None = None,
               seed: int = 7, max_iter: int = 20):
-    """Fit cells; returns (centroids as numpy array, chunks with a ``cell`` column)."""
-    # k-means reads its input once per iteration: materialise it (checkpoint in the shared
-    # folder, so a lost executor does not re-derive the chunks), then fit and assign.
-    data = chunks.withColumn("_v", array_to_vector(vec)).checkpoint()
+    """Fit cells on a bounded share of the rows; returns (centroids as numpy array, all usable chunks
+    with a ``cell`` column, written in the order of the cells)."""
+    # Read several times: written to the shared folder, so that the chunks are derived once.
+    spark = chunks.sparkSession
+    path, fine = scratch_path(spark, "ivf"), chunks.filter(usable(vec))
+    fine.write.parquet(path + "-0")
+    data = spark.read.schema(fine.schema).parquet(path + "-0")
     n = data.count()
     k = n_cells or max(1, int(math.sqrt(n)))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v",
-                   predictionCol="cell").fit(data)
+    share = min(1.0, min(FIT_ROWS, FIT_PER_CELL * k) / max(1, n))
+    fit = data if share == 1.0 or n <= FIT_PER_CELL * SEED_CELLS else data.sample(share, seed)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell",
+                   initMode="k-means||" if k <= SEED_CELLS else "random").fit(
+        fit.select(array_to_vector(vec).alias("_v")))
     cents = np.array([c for c in model.clusterCenters()], dtype=np.float64)
-    return cents, model.transform(data).drop("_v")
+    placed = data.withColumn("cell", _cell_udf(spark.sparkContext.broadcast(cents))(F.col(vec)))
+    # By range of cell and content: a cell of any size is as many tasks as it needs.
+    order = ["cell", F.xxhash64(*chunks.columns)]
+    placed.repartitionByRange(*order).sortWithinPartitions("cell").write.parquet(path)
+    return cents, spark.read.schema(placed.schema).parquet(path)
 
 
 def _ivf_kernel(bc, qkeys, ids, vec, k):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qframe, qmat, probes = bc.value  # probes: cell → array of query indexes
-        qn = np.einsum("ij,ij->i", qmat, qmat)
-        best = None
+        best = Nearest(qmat, np.full(len(qmat), np.inf), k, len(ids))
         for pdf in batches:
-            for cell, grp in pdf.groupby("cell", sort=False):
-                qidx = probes.get(int(cell))
-                if qidx is None or len(qidx) == 0:
-                    continue
-                c = np.stack(grp[vec].to_numpy()).astype(np.float64)
-                q = qmat[qidx]
-                d = qn[qidx][:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (q @ c.T)
-                np.maximum(d, 0.0, out=d)
-                d6 = _round6(d)
-                kk = min(k, d6.shape[1])
-                thr = np.partition(d6, kk - 1, axis=1)[:, kk - 1]
-                qi, ci = np.nonzero(d6 <= thr[:, None])
-                cand = pd.DataFrame({"_q": qidx[qi], "_d6": d6[qi, ci], "_d": d[qi, ci]})
-                for col in ids:
-                    cand[col] = grp[col].to_numpy()[ci]
-                best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-                best = (best.sort_values(["_q", "_d6", *ids], kind="mergesort")
-                        .groupby("_q", sort=False).head(k))
-        if best is not None and len(best):
-            out = best.reset_index(drop=True)
-            for col in qkeys:
-                out[col] = qframe[col].to_numpy()[out["_q"].to_numpy()]
-            yield out[[*qkeys, *ids, "_d"]].rename(columns={"_d": "distance"})
+            pdf, x = _rows_of(pdf, ids, vec, k)
+            cells, names = pdf["cell"].to_numpy(), [pdf[c].to_numpy() for c in ids]
+            for cell in np.unique(cells):
+                rows = np.flatnonzero(cells == cell)
+                best.score(probes.get(int(cell), np.zeros(0, np.int64)), x[rows],
+                           [i[rows] for i in names])
+        q, d, *found = best.cut()
+        if len(q):
+            yield pd.DataFrame({**{c: qframe[c].to_numpy()[q] for c in qkeys},
+                                **dict(zip(ids, found)), "distance": d})
     return run
 
 
@@ -149,11 +148,12 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
             continue
         qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
         near = _nearest_cells(qmat, centroids, max(1, n_probe), sizes, k)
-        probes: dict[int, list[int]] = {}
-        for qi, cells in enumerate(near):
-            for c in cells:
-                probes.setdefault(int(c), []).append(qi)
-        probes_np = {c: np.array(v, dtype=np.int64) for c, v in probes.items()}
+        near = [c.astype(np.int32) for c in near]
+        at = np.repeat(np.arange(len(near), dtype=np.int32), [len(c) for c in near])
+        near = np.concatenate(near)
+        order = np.argsort(near, kind="stable")
+        found, first = np.unique(near[order], return_index=True)
+        probes_np = dict(zip(found.tolist(), np.split(at[order], first[1:])))
         bc = spark.sparkContext.broadcast((pdf[qkeys].reset_index(drop=True), qmat, probes_np))
         parts.append(csel.mapInPandas(_ivf_kernel(bc, qkeys, ids, vec, k), schema))
     if not parts:
@@ -161,7 +161,7 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
     part = parts[0]
     for p in parts[1:]:
         part = part.unionByName(p)
-    w = Window.partitionBy(*qkeys).orderBy(F.round("distance", 6), *ids)
+    w = Window.partitionBy(*qkeys).orderBy(F.floor(F.col("distance") * 1e6 + 0.5), *ids)
     return (part.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 6))
             .select(*qkeys, "rank", *ids, "distance"))
