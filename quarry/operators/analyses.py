@@ -28,6 +28,8 @@ RANK_DIGITS = 9
 #: Terms of over 1/HOT_SHARE of all (document, term) rows, and of over HOT_ROWS rows, are salted.
 HOT_SHARE = 1000
 HOT_ROWS = 100_000
+#: Document frequencies that are broadcast, the most frequent terms first.
+MAX_BROADCAST_TERMS = 500_000
 
 # Directive cues marking a recommendation (A8), matched on whole lower-cased
 # words, and two-word cues matched as phrases.
@@ -61,30 +63,43 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def weighted(tf: DataFrame, n_docs: int, key: str = "doc_id", hot_share: int = HOT_SHARE,
              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(key, term, tf, df, tfidf) of the counts ``tf`` (key, term, tf; read several times, so a
-    stored table). A term's rows are joined to its document frequency in one piece, or, where they
+    """(key, term, tf, df, tfidf) of the counts ``tf`` (key, term, tf and maybe more; read several
+    times, so a stored table). The frequencies of the ``MAX_BROADCAST_TERMS`` most frequent terms are
+    broadcast to the rows, which stay where they are. Any other term's rows are joined to its document frequency in one piece, or, where they
     exceed both 1/``hot_share`` of all rows and ``hot_rows``, in as many salted pieces as keep
     each within that size: no task holds a hot term. At most ``hot_share`` terms can be hot, so
     their salts (a hash and a number each) are a broadcast of bounded size."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     most = max(hot_rows, -(-tf.count() // hot_share))
-    hot = df.filter(F.col("df") > most).groupBy(F.xxhash64("term").alias("_h")).agg(
-        F.max(F.ceil(F.col("df") / most)).cast("int").alias("_n"))
-    hot = F.broadcast(hot)
+    df = _written(df, "term-docs")
+    value = (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("tfidf")
+    rest = [c for c in tf.columns if c not in (key, "term", "tf")]
+    cols = [key, "term", "tf", *rest, "df", value]
+    # The most frequent terms, most of all rows, are a broadcast; the rest is joined by its terms.
+    often = df if df.count() <= MAX_BROADCAST_TERMS else _written(
+        df.orderBy(F.desc("df"), "term").limit(MAX_BROADCAST_TERMS), "often")
+    seldom = df.join(F.broadcast(often.select("term")), "term", "left_anti")
+    hot = F.broadcast(seldom.filter(F.col("df") > most).groupBy(F.xxhash64("term").alias("_h")).agg(
+        F.max(F.ceil(F.col("df") / most)).cast("int").alias("_n")))
     pieces = F.coalesce("_n", F.lit(1))
-    left = (tf.withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
+    left = (tf.join(F.broadcast(often.select("term")), "term", "left_anti")
+            .withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
             .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), pieces).cast("int"))
             .drop("_h", "_n"))
-    right = (df.withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
+    right = (seldom.withColumn("_h", F.xxhash64("term")).join(hot, "_h", "left")
              .select("term", "df", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_salt")))
-    return left.join(right, ["term", "_salt"]).select(
-        key, "term", "tf", "df",
-        (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("tfidf"))
+    return tf.join(F.broadcast(often), "term").select(*cols).unionByName(
+        left.join(right, ["term", "_salt"]).select(*cols))
+
+
+def _by_document(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A document's terms are counted in the task that holds it: texts are shuffled, not terms."""
+    return docs.select(key, text).repartition(key)
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_share: int = HOT_SHARE,
           hot_rows: int = HOT_ROWS) -> DataFrame:
-    tf = _written(doc_terms(docs, key, text).groupBy(key, "term").agg(
+    tf = _written(doc_terms(_by_document(docs, key, text), key, text).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf")), "term-counts")
     return weighted(tf, docs.count(), key, hot_share, hot_rows)
 
@@ -108,20 +123,19 @@ def summarise(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "tex
     """A1: extractive summary - the ``n`` sentences with the highest mean TF-IDF of their
     terms, returned with their position so they read in the original order. ``key`` is unique.
 
-    Terms are counted per sentence once (a written table); the documents' counts are its sums, as
-    a term never spans two sentences. The texts are read again for the chosen positions only."""
+    Terms are counted per document once (a written table), with the sentences that hold them: a
+    term never spans two. The texts are read again for the chosen positions only."""
     docs = apply_filters(docs, filters)
     if topic:
         docs = docs.filter(F.array_contains(terms(text), topic.lower()))
     cut = sentences(text)
-    per_sentence = _written(
-        docs.select(key, F.posexplode(cut).alias("pos", "sentence"))
-        .select(key, "pos", F.explode(terms("sentence")).alias("term"))
-        .groupBy(key, "pos", "term").agg(F.count(F.lit(1)).alias("m")), "sentence-terms")
-    tf = _written(per_sentence.groupBy(key, "term").agg(F.sum("m").alias("tf")), "term-counts")
-    weights = weighted(tf, docs.count(), key).select(key, "term", "tfidf")
-    scored = per_sentence.join(weights, [key, "term"]).groupBy(key, "pos").agg(
-        (F.sum(F.col("m") * F.col("tfidf")) / F.sum("m")).alias("score"))
+    found = (_by_document(docs, key, text)
+             .select(key, F.posexplode(cut).alias("pos", "sentence"))
+             .select(key, "pos", F.explode(terms("sentence")).alias("term")))
+    tf = _written(found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"),
+                                                 F.collect_list("pos").alias("at")), "term-counts")
+    scored = (weighted(tf, docs.count(), key).select(key, "tfidf", F.explode("at").alias("pos"))
+              .groupBy(key, "pos").agg((F.sum("tfidf") / F.count(F.lit(1))).alias("score")))
     w = Window.partitionBy(key).orderBy(F.desc(F.round("score", RANK_DIGITS)), "pos")
     top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return top.join(docs.select(key, cut.alias("_sentences")), key).select(

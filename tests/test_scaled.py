@@ -158,3 +158,20 @@ def test_f15_chunks_leave_a_task_in_bounded_batches(spark):
     assert [r["pos"] for r in rows if r["doc_id"] == 59] == list(range(len(want)))
     df = spark.createDataFrame([(1, "a b", 2.5), (2, None, None)], "doc_id int, text string, x double")
     assert [tuple(r) for r in CH.chunk_chars(df).collect()] == [(1, 2.5, 0, "a b")]
+
+
+def test_f11_f14_terms_stay_with_their_documents(spark, monkeypatch):
+    """Terms aren't shuffled to their document frequencies; with few broadcast ones the values are equal."""
+    from quarry.operators import analyses as A
+    docs = spark.createDataFrame([(i, f"common word{i % 7} rare{i}. The common end{i % 3} is here! common")
+                                  for i in range(60)], "doc_id long, text string")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    whole = order(A.tfidf(docs)), order(A.key_terms(docs)), order(A.summarise(docs))
+    tf = A.tfidf(docs).select("doc_id", "term", "tf")
+    plan = A.weighted(A._written(tf, "t"), 60)._jdf.queryExecution().executedPlan().toString()
+    # the salted join gets only rows whose terms aren't broadcast
+    assert plan.count("LeftAnti") >= 1 and "Union" in plan
+    monkeypatch.setattr(A, "MAX_BROADCAST_TERMS", 4)
+    few = order(A.tfidf(docs)), order(A.key_terms(docs)), order(A.summarise(docs))
+    assert whole == few
+    assert len(whole[0]) == len(set(whole[0])) and {r[4] for r in whole[0] if r[1] == "common"} == {0.0}
