@@ -651,3 +651,25 @@ def test_words_put_together_encode_as_the_library_does(name):
     enc = tokenfile.Encoder(path, max_words=100)
     for t, x in zip(texts, enc.encode(texts)):
         assert x.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_new_latin_words_skip_the_whole_tokenizer():
+    """Letters go to the tokenizer's model alone, tails are encoded once, and every other word by
+    the whole tokenizer: op9's time is spent on words that are met for the first time."""
+    tok, r = Tokenizer.from_file(BPE), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüßéñçøłÄÖÜÉŁ\u01c5\u0280"
+    new = ["".join(r.choice(letters) for _ in range(r.randint(2, 12))) + r.choice(["", ".", ",", "!?"])
+           for _ in range(3000)]
+    odd = ["J\u030cab", "I\u0307", "\u0130x", "\u212aab", "a1", "don't", "x" * 5000 + ".", "ΣΑΣ,", "日本",
+           "\u0345a", "ab\u0301", "a\u00d7b", "<|endoftext|>", "a<|endoftext|>.", "\x01", "--", ""]
+    texts = [" ".join(new[at:at + 30]) for at in range(0, 3000, 30)]
+    enc = tokenfile.Encoder(BPE)
+    asked, whole = [], enc._encode_all
+    enc._encode_all = lambda some: (asked.extend(" ".join(some).split()), whole(some))[1]
+    got = list(enc.encode(texts))
+    assert len(asked) < 20
+    texts += odd + [f"{a}{b} {b}{a}" for a in odd for b in odd] + [None, "", " \n "]
+    got += list(enc.encode(texts[len(got):]))
+    assert len(got) == len(texts)
+    for t, x in zip(texts, got):
+        assert x.tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
