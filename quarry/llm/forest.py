@@ -40,6 +40,7 @@ RECALL = 0.95           # share of these neighbours that the budget reaches
 SHARD_BYTES = 4 << 20   # vectors of a shard, as doubles
 QUERY_BLOCK = 16_384    # queries that stream past a shard in one group
 MAX_LENGTHS = 16        # different vector lengths in a table; more raise
+TASK_BYTES = 32 << 20   # what one task sorts and writes, if the cores have enough tasks
 
 # ------------------------------------------------------------------ trees
 
@@ -149,12 +150,22 @@ def _share(c: str, wanted: int, have: int) -> Column:
         1 << 30)
 
 
+def _few(df: DataFrame, size: int) -> DataFrame:
+    """``df`` in tasks of TASK_BYTES of its ``size`` (at most so many bytes), no fewer than cores:
+    each task takes sort buffers and starts processes for its file, however few its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-size // TASK_BYTES)))
+
+
 def _classes(vectors: DataFrame, ids: int) -> DataFrame:
-    """vec, members: distinct vectors with the ``ids`` smallest ids of their rows, null last."""
-    first = Window.partitionBy("vec").orderBy(F.col("vec_id").asc_nulls_last())
-    return (vectors.distinct().withColumn("r", F.row_number().over(first))
-            .filter(F.col("r") <= ids).groupBy("vec")
-            .agg(F.sort_array(F.collect_list(F.struct("r", "vec_id"))).alias("m"))
+    """vec, members: distinct vectors with the ``ids`` smallest ids of their rows, null last. The
+    members are read off the same sorted rows, not gathered and sorted again. Vectors are sorted
+    by a hash first: Spark normalises both sides' entries anew in every comparison of vectors."""
+    first = Window.partitionBy("h", "vec").orderBy(F.col("vec_id").asc_nulls_last())
+    members = F.collect_list(F.struct("vec_id")).over(first.rowsBetween(0, ids - 1))
+    return (vectors.distinct().withColumn("h", F.xxhash64("vec"))
+            .withColumn("r", F.row_number().over(first))
+            .filter(F.col("r") <= ids).withColumn("m", members).filter("r = 1")
             .select("vec", F.col("m.vec_id").alias("members")))
 
 
@@ -175,7 +186,9 @@ def build(vectors: DataFrame, dims: int, ids: int, trees: int = TREES, leaf: int
           sample: int = SAMPLE, shard_bytes: int = SHARD_BYTES) -> Index:
     """Index all of ``vectors`` (vec_id, vec; ``dims`` entries each). To the driver come the
     sample and, per pair of leaves of the first tree and any tree, a count: both bounded."""
-    classes = stored(_classes(vectors, ids), "forest-classes")
+    # A row is its vector and one place in a list of members, each with some bytes around it.
+    classes = stored(_few(_classes(vectors, ids), vectors.count() * (8 * dims + 128)),
+                     "forest-classes")
     square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     count, norm = classes.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
     if norm is not None and not norm < float("inf"):
@@ -375,7 +388,10 @@ def search(index: Index, queries: DataFrame, many: int, k: int, budget: int | No
         f"q long, query_id {kinds['query_id']}, vec_id {member[6:-1]}, score double"
         + (", leaves array<int>" if with_leaves else ""))
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # From each shard a query gets k rows at most.
+    size = many * k * int((index.first + index.shares).max()) * (
+        64 + 4 * len(index.forest.roots) * with_leaves)
+    return _few(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), size)
 
 
 def measured_budget(index: Index, queries: DataFrame, many: int, k: int, recall: float,
@@ -420,8 +436,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     spark = vectors.sparkSession
     rows = stored(vectors.filter(_valid(F.col("embedding"))).select(
         "vec_id", F.col("embedding").alias("vec")), "forest-vectors")
-    asked = stored(queries.filter(_valid(F.col("embedding"))).select(
-        "query_id", F.col("embedding").alias("vec")).distinct().select(
+    wanted = queries.filter(_valid(F.col("embedding"))).select(
+        "query_id", F.col("embedding").alias("vec"))
+    entries = wanted.agg(F.count(F.lit(1)), F.sum(F.size("vec"))).first()
+    asked = stored(_few(wanted.distinct(), 64 * entries[0] + 8 * (entries[1] or 0)).select(
         F.monotonically_increasing_id().alias("q"), "query_id", "vec"), "forest-queries")
     lengths = [r.n for r in asked.select(F.size("vec").alias("n")).distinct()
                .limit(MAX_LENGTHS + 1).collect()]

@@ -151,3 +151,52 @@ def test_empty_tables(spark):
     with pytest.raises(ValueError):
         many = table(spark, [(20 * i, [1.0] * i) for i in range(1, 19)])
         forest.nearest(many, asked(many))
+
+
+def test_small_tables_dont_become_a_file_per_shuffle_partition(spark, monkeypatch):
+    """With 64 shuffle partitions that adaptive execution leaves apart, as many files would be
+    written of the queries, the classes and the result: now no more than there are cores."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.normal(size=4)]) for i in range(2000)]
+    df = table(spark, rows)
+    files = {}
+
+    def counted(df, name, stored=forest.stored):
+        out = stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+    monkeypatch.setattr(forest, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "64",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        out = forest.nearest(df, asked(df, 5), k=5)
+        counted(out, "result")
+        assert recall(by_query(out), rows, [r for r in rows if r[0] % 5 == 0], 5) >= 0.9
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert files.pop("result") <= cores + 1     # and the empty table that lengths are added to
+    assert max(files.values()) <= cores and {"forest-queries", "forest-classes"} <= set(files)
+    # Larger ones keep a task for every TASK_BYTES.
+    wide = spark.range(100).repartition(50)
+    assert forest._few(wide, 20 * forest.TASK_BYTES).rdd.getNumPartitions() == 20
+    assert forest._few(wide, 10 ** 12).rdd.getNumPartitions() == 50
+
+
+def test_classes_hold_the_smallest_ids_of_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i == 40 else int(i), [a, b]) for i, a, b in zip(
+        rng.integers(0, 41, 2000), rng.choice([1.0, 2.0], 2000).tolist(),
+        rng.choice([0.0, -0.0, 1.0], 2000).tolist())] + [(None, [5.0, 5.0])]
+    want = {}
+    for i, e in {(i, tuple(e)) for i, e in rows}:
+        want.setdefault(e, set()).add(i)
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    for ids in (7, 100):
+        got = [(tuple(r.vec), r.members) for r in forest._classes(df, ids).collect()]
+        assert len(got) == len(want) == 5 and dict(got) == {
+            e: sorted(x, key=lambda i: (i is None, i or 0))[:ids] for e, x in want.items()}
