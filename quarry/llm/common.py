@@ -42,6 +42,16 @@ def drop_stored(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+TASK_BYTES = 32 << 20   # what one task sorts and writes, if the cores have enough tasks
+
+
+def few(df: DataFrame, size: int) -> DataFrame:
+    """``df`` in tasks of TASK_BYTES of its ``size`` (at most so many bytes), no fewer than cores:
+    each task takes sort buffers and starts processes for its file, however few its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-size // TASK_BYTES)))
+
+
 BATCH_BYTES = 4 << 20
 
 

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_stored, stored
+from quarry.llm.common import TASK_BYTES, drop_stored, stored  # noqa: F401
+from quarry.llm.common import few as _few
 
 TREES = 8
 LEAF = 64               # sampled vectors of a leaf at most
@@ -40,7 +41,6 @@ RECALL = 0.95           # share of these neighbours that the budget reaches
 SHARD_BYTES = 4 << 20   # vectors of a shard, as doubles
 QUERY_BLOCK = 16_384    # queries that stream past a shard in one group
 MAX_LENGTHS = 16        # different vector lengths in a table; more raise
-TASK_BYTES = 32 << 20   # what one task sorts and writes, if the cores have enough tasks
 
 # ------------------------------------------------------------------ trees
 
@@ -150,13 +150,6 @@ def _share(c: str, wanted: int, have: int) -> Column:
         1 << 30)
 
 
-def _few(df: DataFrame, size: int) -> DataFrame:
-    """``df`` in tasks of TASK_BYTES of its ``size`` (at most so many bytes), no fewer than cores:
-    each task takes sort buffers and starts processes for its file, however few its rows are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(cores, -(-size // TASK_BYTES)))
-
-
 def _classes(vectors: DataFrame, ids: int) -> DataFrame:
     """vec, members: distinct vectors with the ``ids`` smallest ids of their rows, null last. The
     members are read off the same sorted rows, not gathered and sorted again. Vectors are sorted

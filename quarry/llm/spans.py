@@ -12,7 +12,9 @@ run of a passage lies inside it.
 Plan: one narrow pass writes the runs; a grouped minimum (partial aggregation, so a run that a
 third of all documents share is one row per task) finds each repeated run's first place; the runs
 joined back (a skewed join that adaptive execution splits) give the covered sentences of all
-non-first occurrences; one join by document removes them.
+non-first occurrences; one join by document removes them. Workers take texts in batches of a few MB
+and give unused memory back; what is grouped or joined is written in files by its size, not by the
+number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, drop_stored, mix, stored, utf8, words
+from quarry.llm.common import ALNUM, bounded, drop_stored, few, mix, stored, utf8, words
 
 MIN_SENTENCES = 2
 MIN_WORDS = 24
 LONG_WORDS = 50
+RUN_BYTES = 128         # of a run in a sort, about
 
 _END = regex.compile(rb"\n|[.!?]+(?=\s)")
 _Q = np.uint64(0xD1342543DE82EF95)
@@ -109,12 +112,16 @@ def _run_rows(options: tuple):
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ns, nr, kept, removed = [], [], [], []
-        for raw, cover in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
+        held = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(held)))
+        i, j = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+        for k, raw in enumerate(utf8(batch.column(1))):
             _, first, starts = sentences(raw)
             n = len(starts)
-            gone = np.zeros(n, bool)
-            for x in cover or []:
-                gone[x["i"]:x["j"]] = True
+            ends = np.zeros(n + 1, np.int64)
+            np.add.at(ends, i[at[k]:at[k + 1]], 1)
+            np.add.at(ends, j[at[k]:at[k + 1]], -1)
+            gone = np.cumsum(ends[:n]) > 0
             ns.append(n), nr.append(int(gone.sum())), removed.append(np.flatnonzero(gone))
             if not gone.any():
                 kept.append(raw)
@@ -140,24 +147,25 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     kind = docs.schema["doc_id"].dataType.simpleString()
     src = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = stored(src.mapInArrow(
-        _run_rows((min_sentences, min_words, long_words)),
+        bounded(_run_rows((min_sentences, min_words, long_words))),
         f"h long, g int, doc_id {kind}, t long, i int, j int"), "spans-runs")
+    size = RUN_BYTES * found.count()        # the texts of these runs take less
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "i")
     firsts = (found.select("h", "g", place.alias("p")).groupBy("h", "g")
               .agg(F.min("p").alias("lo"), F.max("p").alias("hi")).filter("lo <> hi")
               .select("h", "g", "lo"))
     # Written, so that both sides of the next join are plain shuffles, which can be split.
-    firsts = stored(firsts, "spans-firsts")
+    firsts = stored(few(firsts, size), "spans-firsts")
     later = (found.join(firsts, ["h", "g"]).filter(place != F.col("lo"))
              .select("doc_id", "t", "i", "j"))
     # At most two entries per sentence of the document.
     covers = later.groupBy("doc_id", "t").agg(
         F.collect_set(F.struct("i", "j")).alias("cover")).withColumnsRenamed(
         {"doc_id": "c_id", "t": "c_t"})
-    covers = stored(covers, "spans-cover")
+    covers = stored(few(covers, size), "spans-cover")
     drop_stored(found, firsts)
     joined = src.join(covers, src["doc_id"].eqNullSafe(covers["c_id"])
                       & (src["t"] == covers["c_t"]), "left")
-    return joined.select("doc_id", "text", "cover").mapInArrow(
-        _remover, f"doc_id {kind}, n_sentences long, n_removed long, removed array<long>, "
+    return few(joined.select("doc_id", "text", "cover"), size).mapInArrow(
+        bounded(_remover), f"doc_id {kind}, n_sentences long, n_removed long, removed array<long>, "
         "text string")

@@ -486,6 +486,55 @@ def test_spans_cover_what_any_longer_run_covers(spark):
     assert got[1].removed == [1, 2, 3, 4] and got[3].removed == [1, 2]
 
 
+def test_spans_take_texts_in_small_batches_and_write_few_files(spark, monkeypatch):
+    """A worker gets a few MB of texts at a time, whatever a batch holds; of 64 shuffle partitions
+    that adaptive execution leaves apart no table is written in more files than there are cores."""
+    r = random.Random(9)
+    passage = "\n".join(" ".join("p%d" % r.randrange(10**6) for _ in range(30)) for _ in range(3))
+    texts = ["\n".join([" ".join("w%d" % r.randrange(10**6) for _ in range(3000)), passage,
+                        "x%d" % i]) for i in range(500)]
+    most = 2 * common.BATCH_BYTES
+    assert sum(map(len, texts)) > most
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    files = {}
+
+    def counted(df, name, stored=spans.stored):
+        out = stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    def watched(run):
+        def checked(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes <= most, batch.nbytes
+                    yield batch
+            yield from run(seen())
+        return checked
+    make, remover = spans._run_rows, spans._remover
+    monkeypatch.setattr(spans, "stored", counted)
+    monkeypatch.setattr(spans, "_run_rows", lambda options: watched(make(options)))
+    monkeypatch.setattr(spans, "_remover", watched(remover))
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for conf in ({"spark.sql.shuffle.partitions": "1"},
+                 {"spark.sql.shuffle.partitions": "64", **off}):
+        before = {c: spark.conf.get(c) for c in conf}
+        try:
+            for c, v in conf.items():
+                spark.conf.set(c, v)
+            out = counted(spans.dedup_spans(df), "result")
+            got = {x.doc_id: x for x in out.collect()}
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v)
+        assert len(got) == 500 and got[0].text == texts[0] and got[0].n_sentences == 5
+        assert all(got[d].removed == [1, 2, 3] and got[d].n_removed == 3
+                   and got[d].text == texts[d].replace(passage + "\n", "")
+                   for d in range(1, 500))
+        assert set(files) == {"spans-runs", "spans-firsts", "spans-cover", "result"}
+        assert max(files.values()) <= spark.sparkContext.defaultParallelism
+
+
 def test_mixing(spark, docs, empty):
     rows = corpus()
     got = mixing.taken(docs.withColumn("size", F.lit("x")).withColumn("place", F.lit(1))).collect()
