@@ -62,11 +62,12 @@ def _ivf_kernel(bc, qkeys, ids, vec, k):
         best = Nearest(qmat, np.full(len(qmat), np.inf), k, len(ids))
         for pdf in batches:
             pdf, x = _rows_of(pdf, ids, vec, k)
-            cells, names = pdf["cell"].to_numpy(), [pdf[c].to_numpy() for c in ids]
+            if not len(x):
+                continue
+            cells, rows = pdf["cell"].to_numpy(), best.rows(x, [pdf[c].to_numpy() for c in ids])
             for cell in np.unique(cells):
-                rows = np.flatnonzero(cells == cell)
-                best.score(probes.get(int(cell), np.zeros(0, np.int64)), x[rows],
-                           [i[rows] for i in names])
+                best.score(probes.get(int(cell), np.zeros(0, np.int64)), rows,
+                           np.flatnonzero(cells == cell))
         q, d, *found = best.cut()
         if len(q):
             yield pd.DataFrame({**{c: qframe[c].to_numpy()[q] for c in qkeys},

@@ -264,7 +264,7 @@ def _block_kernel(qkeys: list[str], ids: list[str], qvec: str, vec: str, k: int)
         c, x = _rows_of(c, ids, vec, k)
         best = Nearest(matrix(q[qvec]).astype(np.float64), q["_limit"].to_numpy(dtype=np.float64), k,
                        len(ids) + 1)
-        best.score(np.arange(len(q)), x, [c[name].to_numpy() for name in [*ids, "cell"]])
+        best.score(np.arange(len(q)), best.rows(x, [c[name].to_numpy() for name in [*ids, "cell"]]))
         qi, d, *found = best.cut()
         out = {name: q[name].to_numpy()[qi] for name in qkeys}
         return pd.DataFrame({**out, **dict(zip([*ids, "cell"], found)), "_d": d})
