@@ -1,9 +1,11 @@
 """Approximate nearest neighbours with an inverted-file (IVF) index.
 
 Cells come from Spark ML k-means on the chunk vectors (distributed training). Each query is
-sent only to its nearest cells: the query block (size-checked, broadcast) carries its probe
-list, and the chunk kernel scores a batch's rows only against the queries that probe their cell, by
-the kernel of the exact search. The chunks are written in the order of their cells.
+scored against its nearest cells only. Its list of cells is one number, the distance of the farthest one,
+which tasks over the queries find; the query block (size-checked, broadcast) carries it, and the chunk
+kernel scores a batch's rows against the queries that reach their cell, by the kernel of the exact search.
+So no list grows with the cells that are probed. The chunks are written in the order of their cells. Of
+several blocks one is worked on at a time, its ranked rows written.
 How many cells are probed follows from the index: an exact search of a sample of the queries
 shows how far down their lists of cells the true neighbours lie, and the least number of cells
 that holds the wanted share of them is taken (``n_probe`` at least). A query whose cells hold
@@ -17,15 +19,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators.cells import (FIT_PER_CELL, FIT_ROWS, SEED_CELLS, _cell_udf, usable)
-from quarry.operators.search import Nearest, _rows_of, search
+from quarry.operators.search import (DEFAULT_MAX_BROADCAST_BYTES, Nearest, _batch_rows,
+                                     _query_blocks, matrix, search)
 from quarry.session import scratch_path
 
 RECALL = 0.9
@@ -56,22 +60,67 @@ def build_ivf(chunks: DataFrame, vec: str = "embedding", n_cells: int | None = N
     return cents, spark.read.schema(placed.schema).parquet(path)
 
 
-def _ivf_kernel(bc, qkeys, ids, vec, k):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qframe, qmat, probes = bc.value  # probes: cell → array of query indexes
-        best = Nearest(qmat, np.full(len(qmat), np.inf), k, len(ids))
-        for pdf in batches:
-            pdf, x = _rows_of(pdf, ids, vec, k)
+def _cell_distances(q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.maximum((q ** 2).sum(1)[:, None] + (centroids ** 2).sum(1) - 2.0 * (q @ centroids.T), 0.0)
+
+
+def _reach(q: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, n_probe: int, k: int) -> np.ndarray:
+    """The squared distance of the farthest cell that each query probes: of its ``n_probe`` nearest ones,
+    and of further ones until they hold ``k`` rows. 4 million distances are held at once."""
+    out, n = np.empty(len(q)), min(max(1, n_probe), len(centroids))
+    step = max(1, 4_000_000 // len(centroids))
+    for lo in range(0, len(q), step):
+        d = _cell_distances(q[lo:lo + step].astype(np.float64), centroids)
+        far = np.partition(d, n - 1, axis=1)[:, n - 1]
+        few = np.flatnonzero((d <= far[:, None]) @ sizes.astype(np.float64) < k)
+        if len(few):
+            near = np.argsort(d[few], axis=1, kind="stable")
+            last = np.minimum((np.cumsum(sizes[near], axis=1) < k).sum(1), len(centroids) - 1)
+            far[few] = np.maximum(far[few], d[few, near[np.arange(len(few)), last]])
+        out[lo:lo + step] = far
+    return out
+
+
+def _reach_kernel(bc, vec: str, n_probe: int, k: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                far = _reach(matrix(batch.column(vec)), *bc.value, n_probe, k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far)], schema=schema)
+    return run
+
+
+def _probing(queries: np.ndarray, reach: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The places of the queries that reach the cell around ``centre``."""
+    found = []
+    for lo in range(0, len(queries), 65536):
+        q = queries[lo:lo + 65536].astype(np.float64)
+        d = _cell_distances(q, centre[None, :])[:, 0]
+        slack = 1e-12 * ((q ** 2).sum(1) + (centre ** 2).sum())     # of sums in another order
+        found.append(lo + np.flatnonzero(d <= reach[lo:lo + 65536] + slack))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _ivf_kernel(bc, qkeys: list[str], ids: list[str], vec: str, k: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries, reach, centroids = bc.value
+        best = Nearest(queries, np.full(len(queries), np.inf), k, len(ids))
+        last, at = None, np.zeros(0, np.int64)      # rows come in the order of their cells
+        for batch in batches:
+            x, names, use = _batch_rows(batch, ids, vec, k)
             if not len(x):
                 continue
-            cells, rows = pdf["cell"].to_numpy(), best.rows(x, [pdf[c].to_numpy() for c in ids])
+            cells, rows = batch.column("cell").to_numpy()[use], best.rows(x, names)
             for cell in np.unique(cells):
-                best.score(probes.get(int(cell), np.zeros(0, np.int64)), rows,
-                           np.flatnonzero(cells == cell))
+                if cell != last:
+                    last, at = cell, _probing(queries, reach, centroids[cell])
+                best.score(at, rows, np.flatnonzero(cells == cell))
         q, d, *found = best.cut()
-        if len(q):
-            yield pd.DataFrame({**{c: qframe[c].to_numpy()[q] for c in qkeys},
-                                **dict(zip(ids, found)), "distance": d})
+        for lo in range(0, len(q), 65536):
+            part = slice(lo, lo + 65536)
+            cols = [*[keys[c].to_numpy()[q[part]] for c in qkeys], *[i[part] for i in found], d[part]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type, from_pandas=True) for c, f in zip(cols, schema)], schema=schema)
     return run
 
 
@@ -82,24 +131,15 @@ def _cell_order(qmat: np.ndarray, centroids: np.ndarray) -> Iterator[np.ndarray]
         yield np.argsort(cn - 2.0 * (qmat[i:i + step] @ centroids.T), axis=1, kind="stable")
 
 
-def _nearest_cells(qmat: np.ndarray, centroids: np.ndarray, n_probe: int, sizes: np.ndarray,
-                   k: int) -> Iterator[np.ndarray]:
-    """The ``n_probe`` nearest cells of each query, and further ones until they hold ``k`` rows."""
-    for order in _cell_order(qmat, centroids):
-        enough = (np.cumsum(sizes[order], axis=1) < k).sum(1) + 1
-        for cells, n in zip(order, np.maximum(enough, n_probe)):
-            yield cells[:n]
-
-
 def measured_probes(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int,
                     recall: float, qkeys: list[str], ids: list[str], vec: str) -> int:
     """The least number of nearest cells that holds a share ``recall`` of the true neighbours of a
     sample of the queries, two standard errors added where there are more queries."""
-    pdf = queries.orderBy(F.xxhash64(*qkeys)).select(vec).limit(_SAMPLE + 1).toPandas()
-    every, pdf = len(pdf) <= _SAMPLE, pdf[:_SAMPLE]
-    if pdf.empty:
+    some = queries.orderBy(F.xxhash64(*qkeys)).select(vec).limit(_SAMPLE + 1).toArrow()
+    every, some = len(some) <= _SAMPLE, some[:_SAMPLE]
+    if not len(some):
         return 1
-    qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+    qmat = matrix(some[vec]).astype(np.float64)
     sample = indexed.sparkSession.createDataFrame(
         list(enumerate(qmat.tolist())), T.StructType([
             T.StructField("_q", T.LongType()), T.StructField(vec, T.ArrayType(T.DoubleType()))]))
@@ -114,23 +154,23 @@ def measured_probes(queries: DataFrame, indexed: DataFrame, centroids: np.ndarra
             q += 1
     if not places:
         return 1
-    want = recall if every else min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(pdf)))
+    want = recall if every else min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(qmat)))
     return sorted(places)[max(0, math.ceil(want * len(places) - 1e-9) - 1)] + 1
 
 
 def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int = 5,
                   n_probe: int = 4, qkeys: list[str] | str = "qid",
                   ids: list[str] | None = None, vec: str = "embedding",
-                  recall: float | None = RECALL) -> DataFrame:
+                  recall: float | None = RECALL,
+                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Top-``k`` by squared L2 among the chunks of each query's nearest cells: ``n_probe`` at least,
     as many as ``recall`` needs by measure (not measured if it is None), and as many as hold ``k``
     chunks. Queries are broadcast in size-checked blocks, as in the exact search."""
     qkeys = [qkeys] if isinstance(qkeys, str) else list(qkeys)
     ids = ids or ["doc_id", "pos"]
     spark = indexed.sparkSession
-    from quarry.operators.search import DEFAULT_MAX_BROADCAST_BYTES, _query_blocks
-    qsel = queries.select(*qkeys, vec).filter(F.col(vec).isNotNull())
-    csel = indexed.select(*ids, vec, "cell")
+    qsel = queries.select(*qkeys, vec).filter(usable(vec))
+    csel = indexed.select(*ids, vec, "cell").filter(F.col(vec).isNotNull())
     qt = {f.name: f.dataType for f in qsel.schema.fields}
     ct = {f.name: f.dataType for f in csel.schema.fields}
     schema = T.StructType([T.StructField(c, qt[c]) for c in qkeys]
@@ -141,30 +181,37 @@ def approx_search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray,
         sizes[r["cell"]] = r["count"]
     if recall is not None:
         n_probe = max(n_probe, measured_probes(qsel, csel, centroids, k, recall, qkeys, ids, vec))
-    blocks, _ = _query_blocks(qsel, qkeys, vec, DEFAULT_MAX_BROADCAST_BYTES)
+    # Each query's reach is found in tasks; then the queries are read block by block.
+    bc = spark.sparkContext.broadcast((centroids, sizes))
+    reaching = T.StructType([*qsel.schema.fields, T.StructField("_reach", T.DoubleType())])
+    path = scratch_path(spark, "reach")
+    qsel.mapInArrow(_reach_kernel(bc, vec, n_probe, k, to_arrow_schema(reaching)), reaching
+                    ).write.parquet(path)
+    bc.destroy()
+    qsel = spark.read.schema(reaching).parquet(path)
+    blocks, n = _query_blocks(qsel, qkeys, vec, max_broadcast_bytes)
+    if not n:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(None).cast("bigint")).select(
+            *qkeys, "rank", *ids, "distance")
+    w = Window.partitionBy(*qkeys).orderBy(F.floor(F.col("distance") * 1e6 + 0.5), *ids)
     parts = []
-    for block in blocks:  # each block is within the broadcast bound
-        pdf = block.toPandas()
-        if pdf.empty:
-            continue
-        qmat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        near = _nearest_cells(qmat, centroids, max(1, n_probe), sizes, k)
-        near = [c.astype(np.int32) for c in near]
-        at = np.repeat(np.arange(len(near), dtype=np.int32), [len(c) for c in near])
-        near = np.concatenate(near)
-        order = np.argsort(near, kind="stable")
-        found, first = np.unique(near[order], return_index=True)
-        probes_np = dict(zip(found.tolist(), np.split(at[order], first[1:])))
-        bc = spark.sparkContext.broadcast((pdf[qkeys].reset_index(drop=True), qmat, probes_np))
-        parts.append(csel.mapInPandas(_ivf_kernel(bc, qkeys, ids, vec, k), schema))
-    if not parts:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(None).cast("bigint"))
-    part = parts[0]
+    for block in blocks:    # each block is within the broadcast bound
+        held = block.toArrow()
+        bc = spark.sparkContext.broadcast((held.select(qkeys).to_pandas(), matrix(held[vec]),
+                                           held["_reach"].to_numpy(), centroids))
+        del held
+        near = csel.mapInArrow(_ivf_kernel(bc, qkeys, ids, vec, k, to_arrow_schema(schema)), schema)
+        top = near.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+        if len(blocks) > 1:     # a block's rows are final: written, so that one block is held at a time
+            path = scratch_path(spark, "probed")
+            top.write.parquet(path)
+            top = spark.read.schema(top.schema).parquet(path)
+            bc.destroy()
+        parts.append(top)
+    top = parts[0]
     for p in parts[1:]:
-        part = part.unionByName(p)
-    w = Window.partitionBy(*qkeys).orderBy(F.floor(F.col("distance") * 1e6 + 0.5), *ids)
-    return (part.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 6))
+        top = top.unionByName(p)
+    return (top.withColumn("distance", F.round("distance", 6))
             .select(*qkeys, "rank", *ids, "distance"))
 
 
